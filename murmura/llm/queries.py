@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmura.llm import encode, packing, split
+from murmura.llm import encode, near, packing, split
 from murmura.sources.tables import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,5 +19,7 @@ SELECT DISTINCT id AS message_id, 'text' AS source_field FROM messages WHERE len
 UNION ALL
 SELECT DISTINCT id, 'attachment.transcription' FROM messages WHERE length(attachment.transcription) > 1200
 """
+QUERIES["p6_found"] = lambda s, d: near.NearDuplicates(near.message_contents(table(s, d, "messages"))).pairs()
+QUERIES["p6_classes"] = lambda s, d: near.NearDuplicates(near.message_contents(table(s, d, "messages"))).classes()
 QUERIES["p8_ids"] = lambda s, d: encode.encode(table(s, d, "documents"))
 QUERIES["p9_containers"] = lambda s, d: packing.fill(cut_lineage(encode.sizes(table(s, d, "documents"))))
