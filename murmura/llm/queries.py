@@ -5,13 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from murmura.llm import encode, near, packing, split
+from murmura.llm import encode, near, nearest, packing, split
 from murmura.sources.tables import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+
+def _nearest(spark: SparkSession, sf_dir: str, kind: str, dim: int) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, f"{kind}_vectors"), dim)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of which one is among the ten most similar of the other."""
+    found = [nearest.pairs(_nearest(spark, sf_dir, kind, dim)).select(F.lit(kind).alias("kind"), "vec_a", "vec_b") for kind, dim in (("text", 384), ("image", 512))]
+    return found[0].unionByName(found[1])
+
+
+QUERIES["p1_found"] = p1_found
+QUERIES["p1_nearest_text"] = lambda s, d: _nearest(s, d, "text", 384)
+QUERIES["p1_nearest_image"] = lambda s, d: _nearest(s, d, "image", 512)
 QUERIES["p2_pieces"] = lambda s, d: split.pieces(split.long_items(table(s, d, "messages")))
 QUERIES["p2_found"] = lambda s, d: split.pieces(split.long_items(table(s, d, "messages"))).where("piece_no = 0").select("message_id", "source_field")
 ORACLES["p2_found"] = """
