@@ -36,7 +36,7 @@ def test_spellings(spark):
 
 
 def test_best_paths_keeps_to_a_language_within_a_sentence():
-    scores = np.array([[0.0, -3.0], [-2.0, 0.0], [0.0, -3.0], [-9.0, 0.0]])
+    scores = np.array([[0.0, -6.0], [-2.0, 0.0], [0.0, -3.0], [-9.0, 0.0]])
     owner = np.zeros(4, dtype=int)
     assert language.best_paths(scores, owner, np.array([True, False, False, False])).tolist() == [0, 0, 0, 1]
     assert language.best_paths(scores, np.array([0, 1, 2, 2]), np.ones(4, dtype=bool)).tolist() == [0, 1, 0, 1]
