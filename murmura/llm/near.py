@@ -32,8 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmura.sources.tables import stored
+
 LEAST_WORDS, SHINGLE, THRESHOLD = 20, 4, 0.5
-ROWS, BITS, CHUNK = 2, 22, 1 << 18
+ROWS, BITS, CHUNK = 2, 23, 1 << 18
+#: Words of 64 bits of a set's parity signature.
+SIGNATURE = 4
+SIGNS = [f"s{w}" for w in range(SIGNATURE)]
 _WORD = re.compile(r"[^\W_]+")
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -97,8 +102,10 @@ def _counts(batches: Iterator[pa.RecordBatch], least: int, size: int) -> Iterato
     def add() -> None:
         nonlocal total, held, n
         h = np.concatenate(held)
-        rows = np.concatenate([np.bincount(_cells(h, r), minlength=1 << BITS) for r in range(ROWS)]).astype(np.uint32)
-        total = rows if total is None else total + rows
+        if total is None:
+            total = np.zeros((ROWS, 1 << BITS), dtype=np.uint32)
+        for r in range(ROWS):
+            np.add(total[r], np.bincount(_cells(h, r), minlength=1 << BITS), out=total[r], casting="unsafe")
         held, n = [], 0
 
     for batch in batches:
@@ -187,6 +194,21 @@ def _class_of(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return _mix(total[bounds[1:]] - total[bounds[:-1]] + n * _M[3]).astype(np.int64)
 
 
+def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set, of SIGNATURE * 64 parities: how often, modulo 2, a shingle falls to each.
+
+    Two sets' signatures differ in no more bits than the sets differ in shingles.
+    """
+    where = _mix(h ^ _M[1]) % np.uint64(64 * SIGNATURE)
+    out = np.zeros((len(bounds) - 1, SIGNATURE), dtype=np.uint64)
+    filled = np.flatnonzero(np.diff(bounds))
+    for w in range(SIGNATURE):
+        bit = np.where(where >> np.uint64(6) == w, np.uint64(1) << (where & np.uint64(63)), np.uint64(0))
+        if len(filled):
+            out[filled, w] = np.bitwise_xor.reduceat(bit, bounds[:-1][filled])
+    return out.view(np.int64)
+
+
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
@@ -202,7 +224,9 @@ def _members(batches: Iterator[pa.RecordBatch], sketch, least: int, size: int, t
             chosen = allocate(counts, h, bounds, threshold) & (counts > 1)  # a bit counted once is in no other text
             upto = np.concatenate([[0], np.cumsum(chosen)])[bounds].astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(upto), pa.array(_signed(h[chosen])))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(_class_of(h, bounds)), pa.array(np.diff(bounds).astype(np.int32)), keys], names=["id", "cls", "n", "keys"])
+            signs = signatures(h, bounds)
+            arrays = [part.column(0).take(pa.array(of)), pa.array(_class_of(h, bounds)), pa.array(np.diff(bounds).astype(np.int32)), keys, *(pa.array(np.ascontiguousarray(c)) for c in signs.T)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "cls", "n", "keys", *SIGNS])
 
 
 def _bits_of(batches: Iterator[pa.RecordBatch], log2: int) -> Iterator[pa.RecordBatch]:
@@ -231,23 +255,22 @@ def membership_filter(longs: DataFrame, log2: int = 23) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], wanted, least: int, size: int) -> Iterator[pa.RecordBatch]:
-    """(class, set) of the texts whose class may be wanted."""
+    """(class, set) of the texts whose id may be wanted."""
     shingler = Shingler(least, size)
     bits = wanted.value
-    log2 = np.uint64(len(bits).bit_length() - 1)
+    shift = np.uint64(64 - (len(bits).bit_length() - 1))
     for batch in batches:
-        for k in range(0, batch.num_rows, 2000):
-            _, bounds, h = shingler(batch.column(1).slice(k, 2000).to_pylist())
-            cls = _class_of(h, bounds)
-            keep = np.flatnonzero(bits[_mix(cls.view(np.uint64)) >> (np.uint64(64) - log2)]) if len(cls) else []
-            sets = [_signed(h[bounds[i] : bounds[i + 1]]) for i in keep]
-            yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "shingles"])
+        keep = np.flatnonzero(bits[_mix(batch.column(0).to_numpy().view(np.uint64)) >> shift])
+        for k in range(0, len(keep), 2000):
+            _, bounds, h = shingler(batch.column(1).take(pa.array(keep[k : k + 2000])).to_pylist())
+            sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(_signed(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(_class_of(h, bounds)), sets], names=["cls", "shingles"])
 
 
 def message_contents(messages: DataFrame) -> DataFrame:
     """(id, content): the text, or the caption where the text is null or blank."""
     # Blank: white space of any script only.
-    filled = F.regexp_replace("text", r"[\s\x0B\x1C-\x1F\x85\p{Z}]+", "") != ""
+    filled = F.col("text").rlike(r"[^\s\x0B\x1C-\x1F\x85\p{Z}]")
     return messages.select("id", F.when(filled, F.col("text")).otherwise(F.col("caption")).alias("content")).where("id is not null and content is not null")
 
 
@@ -255,26 +278,34 @@ class NearDuplicates:
     """Candidates, links and classes over (id, content)."""
 
     def __init__(self, contents: DataFrame, least: int = LEAST_WORDS, size: int = SHINGLE, threshold: float = THRESHOLD):
-        from murmura.sources.tables import cut_lineage
-
         self.contents, self.how = contents.select("id", "content"), {"least": least, "size": size}
         self.spark: SparkSession = contents.sparkSession
         self.threshold = threshold
         sketch = self.spark.sparkContext.broadcast(counting_sketch(self.contents, **self.how))
         id_type = self.contents.schema["id"].dataType.simpleString()
-        rows = self.contents.mapInArrow(partial(_members, sketch=sketch, threshold=threshold, **self.how), f"id {id_type}, cls bigint, n int, keys array<bigint>")
-        rows = cut_lineage(rows)
-        self.members = rows.select("id", "cls").distinct()
-        postings = rows.select("cls", "n", F.explode("keys").alias("key")).distinct()
+        signs = ", ".join(f"{s} bigint" for s in SIGNS)
+        rows = self.contents.mapInArrow(partial(_members, sketch=sketch, threshold=threshold, **self.how), f"id {id_type}, cls bigint, n int, keys array<bigint>, {signs}")
+        self.rows = stored(rows)
+        self.members = self.rows.select("id", "cls").distinct()
+        postings = self.rows.select("cls", "n", "keys").dropDuplicates(["cls"]).select("cls", "n", F.explode("keys").alias("key"))
         a = postings.select("key", F.col("cls").alias("a"), F.col("n").alias("na"))
         b = postings.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"))
         fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold))
-        self.candidates = cut_lineage(a.join(b, "key").where(fits).select("a", "b").distinct())
+        met = a.join(b, "key").where(fits).select("a", "b").distinct()
+        # The signatures bound how much the sets differ; most candidates need no look at the sets.
+        signed = self.rows.select("cls", "n", *SIGNS).dropDuplicates(["cls"])
+        of_a, of_b = (signed.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), *[F.col(s).alias(s + x) for s in SIGNS]) for x in "ab")
+        apart = sum((F.bit_count(F.col(s + "a").bitwiseXOR(F.col(s + "b"))) for s in SIGNS), F.lit(0))
+        most = (F.col("na") + F.col("nb")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
+        self.candidates = stored(met.join(of_a, "a").join(of_b, "b").where(apart <= most).select("a", "b"))
 
     def links(self) -> DataFrame:
         """(a, b): pairs of classes whose sets pass the threshold."""
-        wanted = self.spark.sparkContext.broadcast(membership_filter(self.candidates))
-        sets = self.contents.mapInArrow(partial(_sets, wanted=wanted, **self.how), "cls bigint, shingles array<bigint>").dropDuplicates(["cls"])
+        involved = self.candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        named = self.rows.select("id", "cls").join(involved, "cls").groupBy("cls").agg(F.min("id").alias("id"))
+        wanted = self.spark.sparkContext.broadcast(membership_filter(named.select(F.xxhash64("id"))))
+        texts = self.contents.select(F.xxhash64("id"), "content")
+        sets = texts.mapInArrow(partial(_sets, wanted=wanted, **self.how), "cls bigint, shingles array<bigint>").dropDuplicates(["cls"])
         pairs = self.candidates.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return pairs.where(common >= F.lit(self.threshold) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
