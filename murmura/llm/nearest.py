@@ -99,25 +99,40 @@ def scan(q: np.ndarray, q_id: np.ndarray, b: np.ndarray, b_id: np.ndarray, k: in
     turn = rotation(dim)
     rq, rb = un_q.astype(np.float32) @ turn, un_b.astype(np.float32) @ turn
     ends = [c for c in columns if c < dim] + [dim]
-    d = ends[0]
-    part = (rq[:, :d] ** 2).sum(1)[:, None] + (rb[:, :d] ** 2).sum(1)[None, :] - 2 * (rq[:, :d] @ rb[:, :d].T)
+
+    def block(start: int, end: int) -> np.ndarray:
+        x, y = rq[:, start:end], rb[:, start:end]
+        return np.einsum("nd,nd->n", x, x)[:, None] + np.einsum("nd,nd->n", y, y)[None, :] - 2 * (x @ y.T)
+
+    def factor(d: int) -> float:
+        return (1 + epsilon / np.sqrt(d)) ** 2 * d / dim if d < dim else 1.0
+
+    part = block(0, ends[0])
     part[q_id[:, None] == b_id[None, :]] = np.inf
     kk = min(k, part.shape[1])
     seeds = np.argpartition(part, kk - 1, axis=1)[:, :kk]
     exact = 2 - 2 * np.einsum("qd,qkd->qk", rq, rb[seeds])
     exact[~np.isfinite(np.take_along_axis(part, seeds, 1))] = np.inf
-    limit = exact.max(1) + 1e-5
-    left = part * (dim / d) <= (limit * (1 + epsilon / np.sqrt(d)) ** 2)[:, None]
-    np.put_along_axis(left, seeds, True, 1)
-    left &= np.isfinite(part)
-    i, j = np.nonzero(left)
+    limit = exact.max(1) + 1e-4
+    i, j = np.nonzero(part <= np.where(np.isfinite(limit), limit * factor(ends[0]), 1e9)[:, None])
     sofar = part[i, j]
     for a, e in zip(ends, ends[1:], strict=False):
-        for s in range(0, len(i), 50_000):
-            diff = rq[i[s : s + 50_000], a:e] - rb[j[s : s + 50_000], a:e]
-            sofar[s : s + 50_000] += np.einsum("nd,nd->n", diff, diff)
-        keep = sofar * (dim / e) <= limit[i] * ((1 + epsilon / np.sqrt(e)) ** 2 if e < dim else 1) + 1e-5
+        if len(i) > 0.04 * part.size:
+            # So many are left that a product of whole blocks is cheaper than one by one.
+            sofar = sofar + block(a, e)[i, j]
+        else:
+            for s in range(0, len(i), 50_000):
+                diff = rq[i[s : s + 50_000], a:e] - rb[j[s : s + 50_000], a:e]
+                sofar[s : s + 50_000] += np.einsum("nd,nd->n", diff, diff)
+        keep = sofar <= limit[i] * factor(e) + 1e-4
         i, j, sofar = i[keep], j[keep], sofar[keep]
+    # Of complete distances, what is beyond the k-th by more than their error needs no exact cosine.
+    order = np.lexsort((sofar, i))
+    i, j, sofar = i[order], j[order], sofar[order]
+    first = np.searchsorted(i, np.arange(len(q)))
+    last = np.minimum(first + k, np.searchsorted(i, np.arange(len(q)), side="right")) - 1
+    close = sofar <= sofar[last[i]] + 1e-4 if len(i) else np.empty(0, dtype=bool)
+    i, j = i[close], j[close]
     cos = np.empty(len(i))
     for s in range(0, len(i), 50_000):
         cos[s : s + 50_000] = np.einsum("nd,nd->n", un_q[i[s : s + 50_000]], un_b[j[s : s + 50_000]])
@@ -210,7 +225,7 @@ def nearest(vectors: DataFrame, dim: int, k: int = 10, key: str = "vec_id", vect
     """(id, neighbour, similarity): the ``k`` most similar other vectors of every usable vector of ``dim`` entries."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).where(f"id is not null and size(v) = {int(dim)}")
-    n = rows.count()
+    n = vectors.count()
     part = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, n)) * (1 << 30))
     drawn = [r.v for r in rows.where(part).mapInArrow(partial(_sampled, dim=dim), "v binary").collect()]
     out = "id bigint, neighbour bigint, similarity double"
