@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import encode, language, near, nearest, packing, split
+from murmura.llm import encode, language, moderation, near, nearest, packing, split
 from murmura.sources.tables import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,14 @@ SELECT DISTINCT id AS message_id, 'text' AS source_field FROM messages WHERE len
 UNION ALL
 SELECT DISTINCT id, 'attachment.transcription' FROM messages WHERE length(attachment.transcription) > 1200
 """
+
+def _moderated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moderation.scores(table(spark, sf_dir, "messages"), table(spark, sf_dir, "moderation_labels"))
+
+
+QUERIES["p3_found"] = lambda s, d: moderation.found(_moderated(s, d))
+QUERIES["p3_scores"] = lambda s, d: _moderated(s, d).dropDuplicates(["message_id"])
+QUERIES["p3_rates"] = lambda s, d: moderation.rates(_moderated(s, d))
 QUERIES["p4_found"] = lambda s, d: language.found(language.segments(table(s, d, "messages")))
 QUERIES["p4_labels"] = lambda s, d: language.label(language.segments(table(s, d, "messages")))
 QUERIES["p6_found"] = lambda s, d: near.NearDuplicates(near.message_contents(table(s, d, "messages"))).pairs()
