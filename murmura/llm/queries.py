@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import encode, language, moderation, near, nearest, packing, split
+from murmura.llm import encode, language, moderation, near, nearest, packing, reading, split
 from murmura.sources.tables import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,11 @@ QUERIES["p6_found"] = lambda s, d: near.NearDuplicates(near.message_contents(tab
 QUERIES["p6_classes"] = lambda s, d: near.NearDuplicates(near.message_contents(table(s, d, "messages"))).classes()
 QUERIES["p8_ids"] = lambda s, d: encode.encode(table(s, d, "documents"))
 QUERIES["p9_containers"] = lambda s, d: packing.fill(cut_lineage(encode.sizes(table(s, d, "documents"))))
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+QUERIES["p10_found"] = lambda s, d: _levels(s, d).where("reading_level is not null").select("doc_id", "reading_level")
+QUERIES["p10_levels"] = _levels
