@@ -105,7 +105,7 @@ class Model:
         full = np.concatenate([dense, np.ones((len(dense), 1))], 1)
         weight = np.bincount(y, minlength=LEVELS).astype(float)
         weight = np.where(weight > 0, len(y) / np.maximum(weight, 1) / (weight > 0).sum(), 0)
-        gt, gd = np.full(BUCKETS, 1e-4, dtype=np.float32), np.full_like(self.d, 1e-4)
+        gt, gd = np.full(BUCKETS, 1e-8, dtype=np.float32), np.full_like(self.d, 1e-4)
         for r in range(rounds):
             step = rate / (1 + r / 2)
             order = rng.permutation(len(bags))
@@ -185,11 +185,12 @@ def train(labelled: list[tuple[str, int]]) -> Model:
     if len(y) < 12:
         return fitted(every)
     keep, best = np.ones(len(y), dtype=bool), 1.0
+    fold = np.random.default_rng(4).permutation(len(y)) % 3
     for _ in range(2):
         held = np.zeros((len(y), LEVELS))
         for f in range(3):
-            m = fitted(every[(every % 3 != f) & keep])
-            held[every % 3 == f] = m.documents([_spread(texts[k]) for k in every[every % 3 == f]])
+            m = fitted(every[(fold != f) & keep])
+            held[fold == f] = m.documents([_spread(texts[k]) for k in every[fold == f]])
         keep = held[every, y] > held.max(1) - 2.0
         scale = [0.5, 1.0, 2.0, 3.0, 4.0, 6.0, 8.0]
         fit = []
