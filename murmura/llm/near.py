@@ -37,7 +37,7 @@ from murmura.sources.tables import stored
 LEAST_WORDS, SHINGLE, THRESHOLD = 20, 4, 0.5
 ROWS, BITS, CHUNK = 2, 23, 1 << 18
 #: Words of 64 bits of a set's parity signature.
-SIGNATURE = 4
+SIGNATURE = 2
 SIGNS = [f"s{w}" for w in range(SIGNATURE)]
 _WORD = re.compile(r"[^\W_]+")
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -119,22 +119,32 @@ def _counts(batches: Iterator[pa.RecordBatch], least: int, size: int) -> Iterato
         add()
     if total is not None:
         parts = total.reshape(-1, CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), _part(len(parts)), pa.array([zlib.compress(p.tobytes(), 1) for p in parts])], names=["chunk", "part", "counters"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), _part(len(parts)), pa.array([_squeezed(p) for p in parts])], names=["chunk", "part", "counters"])
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """Counters as bytes where they fit, compressed."""
+    return zlib.compress((values.astype(np.uint8) if values.max(initial=0) < 256 else values.astype(np.uint32)).tobytes(), 6)
+
+
+def _counters(raw: bytes) -> np.ndarray:
+    raw = zlib.decompress(raw)
+    return np.frombuffer(raw, dtype=np.uint8 if len(raw) == CHUNK else np.uint32)
 
 
 def _part(n: int) -> pa.Array:
     return pa.array([TaskContext.get().partitionId()] * n, pa.int32())
 
 
-def _chunk(key: tuple, name: str, values: np.ndarray) -> pa.Table:
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), name: pa.array([zlib.compress(values.tobytes(), 1)])})
+def _chunk(key: tuple, name: str, value: bytes) -> pa.Table:
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), name: pa.array([value])})
 
 
 def _sum(key: tuple, parts: pa.Table) -> pa.Table:
     total = np.zeros(CHUNK, dtype=np.uint64)
     for c in parts.column("counters"):
-        total += np.frombuffer(zlib.decompress(c.as_py()), dtype=np.uint32)
-    return _chunk(key, "counters", np.minimum(total, 2**32 - 1).astype(np.uint32))
+        total += _counters(c.as_py())
+    return _chunk(key, "counters", _squeezed(np.minimum(total, 2**32 - 1)))
 
 
 def scaled(count: np.ndarray) -> np.ndarray:
@@ -164,7 +174,7 @@ def counting_sketch(contents: DataFrame, least: int = LEAST_WORDS, size: int = S
     summed = merged(parts, _sum, "counters", contents._jdf.rdd().getNumPartitions())
     out = np.zeros((ROWS << BITS) // CHUNK * CHUNK, dtype=np.uint8)
     for r in summed.collect():
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = scaled(np.frombuffer(zlib.decompress(r.counters), dtype=np.uint32))
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = scaled(_counters(r.counters))
     return out.reshape(ROWS, -1)
 
 
@@ -223,7 +233,8 @@ def _members(batches: Iterator[pa.RecordBatch], sketch, least: int, size: int, t
             counts = _estimate(sketch.value, h)
             chosen = allocate(counts, h, bounds, threshold) & (counts > 1)  # a bit counted once is in no other text
             upto = np.concatenate([[0], np.cumsum(chosen)])[bounds].astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(upto), pa.array(_signed(h[chosen])))
+            # Half of a hash is enough to meet by; what meets is verified.
+            keys = pa.ListArray.from_arrays(pa.array(upto), pa.array((h[chosen] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
             signs = signatures(h, bounds)
             arrays = [part.column(0).take(pa.array(of)), pa.array(_class_of(h, bounds)), pa.array(np.diff(bounds).astype(np.int32)), keys, *(pa.array(np.ascontiguousarray(c)) for c in signs.T)]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "cls", "n", "keys", *SIGNS])
@@ -242,7 +253,7 @@ def _or(key: tuple, parts: pa.Table) -> pa.Table:
     out = np.zeros(CHUNK >> 3, dtype=np.uint8)
     for c in parts.column("bits"):
         out |= np.frombuffer(zlib.decompress(c.as_py()), dtype=np.uint8)
-    return _chunk(key, "bits", out)
+    return _chunk(key, "bits", zlib.compress(out.tobytes(), 6))
 
 
 def membership_filter(longs: DataFrame, log2: int = 23) -> np.ndarray:
@@ -284,7 +295,7 @@ class NearDuplicates:
         sketch = self.spark.sparkContext.broadcast(counting_sketch(self.contents, **self.how))
         id_type = self.contents.schema["id"].dataType.simpleString()
         signs = ", ".join(f"{s} bigint" for s in SIGNS)
-        rows = self.contents.mapInArrow(partial(_members, sketch=sketch, threshold=threshold, **self.how), f"id {id_type}, cls bigint, n int, keys array<bigint>, {signs}")
+        rows = self.contents.mapInArrow(partial(_members, sketch=sketch, threshold=threshold, **self.how), f"id {id_type}, cls bigint, n int, keys array<int>, {signs}")
         self.rows = stored(rows)
         self.members = self.rows.select("id", "cls").distinct()
         postings = self.rows.select("cls", "n", "keys").dropDuplicates(["cls"]).select("cls", "n", F.explode("keys").alias("key"))
