@@ -120,7 +120,7 @@ class Model:
 
     def fit(self, bags: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS, rate: float = 0.5, seed: int = 2) -> Model:
         rng = np.random.default_rng(seed)
-        ge, gw, gb = np.full(BUCKETS, 1e-3, dtype=np.float32), np.full_like(self.w, 1e-3), np.full_like(self.b, 1e-3)
+        ge, gw, gb = np.full(BUCKETS, 1e-5, dtype=np.float32), np.full_like(self.w, 1e-3), np.full_like(self.b, 1e-3)
         positive = max(1, int(y.sum()))
         weight = np.where(y == 1, min(8.0, max(1.0, (len(y) - positive) / positive / 2)), 1.0).astype(np.float32)
         for r in range(rounds):
@@ -243,6 +243,7 @@ def train(labelled: list[tuple[list[str], int]]) -> tuple[np.ndarray, float]:
         return np.array([table[f].mean() + constant for f in bags[k]])
 
     rng = np.random.default_rng(6)
+    fold = rng.permutation(len(y)) % 2
 
     def fitted(members: np.ndarray, by: dict[int, Model] | None, keep: np.ndarray, rounds: int) -> Model:
         """A model from the sentences that ``by`` - for each fold the model without it - finds worst, and some more of each other message."""
@@ -255,7 +256,7 @@ def train(labelled: list[tuple[list[str], int]]) -> tuple[np.ndarray, float]:
                 chosen.append(np.concatenate(own) if y[k] else own[int(rng.integers(len(own)))])
                 target.append(y[k])
                 continue
-            worst = int(odds(by[k % 2], k).argmax())
+            worst = int(odds(by[fold[k]], k).argmax())
             chosen.append(own[worst])
             target.append(y[k])
             if not y[k]:
@@ -267,8 +268,8 @@ def train(labelled: list[tuple[list[str], int]]) -> tuple[np.ndarray, float]:
 
     every, keep, by = np.arange(len(y)), np.ones(len(y), dtype=bool), None
     for turn in range(3):
-        by = {f: fitted(every[every % 2 != f], by, keep, 4) for f in (0, 1)}
-        worst = np.array([odds(by[k % 2], k).max() for k in range(len(y))])
+        by = {f: fitted(every[fold != f], by, keep, 4) for f in (0, 1)}
+        worst = np.array([odds(by[fold[k]], k).max() for k in range(len(y))])
         if turn:
             keep = np.where(y == 1, worst > -0.8, worst < 1.5)
             if keep[y == 1].sum() < 5:
