@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import encode, language, moderation, near, nearest, packing, reading, split
+from murmura.llm import encode, language, moderation, near, nearest, packing, personal, reading, split
 from murmura.sources.tables import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,8 @@ QUERIES["p4_found"] = lambda s, d: language.found(language.segments(table(s, d,
 QUERIES["p4_labels"] = lambda s, d: language.label(language.segments(table(s, d, "messages")))
 QUERIES["p6_found"] = lambda s, d: near.NearDuplicates(near.message_contents(table(s, d, "messages"))).pairs()
 QUERIES["p6_classes"] = lambda s, d: near.NearDuplicates(near.message_contents(table(s, d, "messages"))).classes()
+QUERIES["p7_found"] = lambda s, d: personal.entities(table(s, d, "messages")).select("message_id", "source_field", "pii_type", "pii_key").distinct()
+QUERIES["p7_redacted"] = lambda s, d: personal.redacted(table(s, d, "messages"))
 QUERIES["p8_ids"] = lambda s, d: encode.encode(table(s, d, "documents"))
 QUERIES["p9_containers"] = lambda s, d: packing.fill(cut_lineage(encode.sizes(table(s, d, "documents"))))
 
