@@ -1,0 +1,23 @@
+import os
+
+import pytest
+
+import oracles
+from murmura import queries
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(oracles.SF), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def con():
+    return oracles.connection()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, con, name):
+    oracles.compare(spark, con, name, queries.QUERIES[name], queries.ORACLES[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+def test_runs(spark, name):
+    assert queries.QUERIES[name](spark, oracles.SF).count() > 0
