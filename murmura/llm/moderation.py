@@ -296,7 +296,8 @@ def scores(messages: DataFrame, labels: DataFrame, sample: int = SAMPLE, thresho
     drawn = labels.where("message_id is not null and abusive is not null").where(F.pmod(F.xxhash64("message_id"), F.lit(1 << 20)) < share)
     # Annotators who disagree: the greater part decides, a tie counts as abusive.
     voted = drawn.groupBy("message_id").agg((F.avg("abusive") >= 0.5).cast("int").alias("y"))
-    joined = rows.join(F.broadcast(voted) if share == 1 << 20 and n <= sample else voted, "message_id").dropDuplicates(["message_id"])
+    # The draw bounds the votes: about ``sample`` rows, whatever the table of labels.
+    joined = rows.join(F.broadcast(voted), "message_id").dropDuplicates(["message_id"])
     picked = joined.select("message_id", "text", "caption", "y").orderBy("message_id").collect()
     model = spark.sparkContext.broadcast(train([([t for t in (r["text"], r["caption"]) if t], r["y"]) for r in picked]))
     kinds = dict(rows.dtypes)
