@@ -11,6 +11,9 @@ Vectors travel as half-precision numbers scaled by a power of two: two bytes a d
 once for each further list probed. Lists over ``BLOCK`` rows are tiled into blocks of candidates and of queries, so a
 list that holds a third of all vectors is still spread over the cluster.
 
+Of vectors that are equal (as half-precision numbers) only the k + 1 rows of least key take part in the search: they are
+the best neighbours of all others of their kind, so a vector that a third of all rows share costs no more than its k + 1.
+
 Results: usable are vectors of full length without null or NaN or infinite entries and not all zero; others neither ask nor answer.
 Every usable row counts, equal vectors too. Rows of (key, neighbour, similarity): at most k for each key, ties by the smaller neighbour.
 """
@@ -23,6 +26,7 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -221,11 +225,85 @@ def _searched(rows: pa.Table, dim: int, k: int) -> pa.Table:
     return pa.table({"id": a, "neighbour": n, "similarity": s})
 
 
+def _alike(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
+    """For each kind of equal vectors in a partition: how many rows, and the k + 1 least keys."""
+    kinds, keys = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    counts = [np.empty(0, dtype=np.int64)]
+
+    def reduced() -> None:
+        h, i, n = (np.concatenate(x) for x in (kinds, keys, counts))
+        order = np.lexsort((i, h))
+        h, i, n = h[order], i[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
+        rank = np.arange(len(h)) - np.repeat(first, np.diff(np.concatenate([first, [len(h)]])))
+        # A kind's count is kept with its first row.
+        total = np.zeros(len(h), dtype=np.int64)
+        if len(h):
+            total[first] = np.add.reduceat(n, first)
+        few = rank <= k
+        kinds[:], keys[:], counts[:] = [h[few]], [i[few]], [total[few]]
+
+    size = 0
+    for batch in batches:
+        for a in range(0, batch.num_rows, 4096):
+            part = batch.slice(a, 4096)
+            at, v = matrix(part.column(1), dim)
+            kinds.append(_kinds(packed(v)) if len(at) else np.empty(0, dtype=np.int64))
+            keys.append(part.column(0).to_numpy()[at])
+            counts.append(np.ones(len(at), dtype=np.int64))
+            size += len(at)
+            if size > 1_000_000:
+                reduced()
+                size = 0
+    reduced()
+    yield pa.RecordBatch.from_arrays([pa.array(kinds[0]), pa.array(keys[0]), pa.array(counts[0])], names=["kind", "id", "n"])
+
+
+def _kinds(half: np.ndarray) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(r.tobytes()) for r in half], dtype=np.uint64).view(np.int64)
+
+
+def _kept(batches: Iterator[pa.RecordBatch], dim: int, frequent) -> Iterator[pa.RecordBatch]:
+    """The rows that take part in the search."""
+    known = frequent.value
+    for batch in batches:
+        at, v = matrix(batch.column(1), dim)
+        ids = batch.column(0).to_numpy()
+        out = [r for r, h in zip(at.tolist(), _kinds(packed(v)).tolist() if len(at) else [], strict=True) if h not in known or ids[r] in known[h]]
+        yield batch.take(pa.array(out, pa.int64()))
+
+
+def _copies(batches: Iterator[pa.RecordBatch], dim: int, k: int, frequent) -> Iterator[pa.RecordBatch]:
+    """The neighbours of the other rows of a kind: its k least keys."""
+    known = {h: sorted(i)[:k] for h, i in frequent.value.items()}
+    for batch in batches:
+        at, v = matrix(batch.column(1), dim)
+        ids = batch.column(0).to_numpy()
+        who, whom = [], []
+        for r, h in zip(at.tolist(), _kinds(packed(v)).tolist() if len(at) else [], strict=True):
+            if h in known and ids[r] not in frequent.value[h]:
+                who += [ids[r]] * k
+                whom += known[h]
+        yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(whom, pa.int64()), pa.array(np.ones(len(who)))], names=["id", "neighbour", "similarity"])
+
+
+#: Kinds of more than k + 1 equal vectors that are handled apart; of more, the least frequent go through the search like any other.
+KINDS = 50_000
+
+
 def nearest(vectors: DataFrame, dim: int, k: int = 10, key: str = "vec_id", vector: str = "vector", sample: int = SAMPLE, margin: float = MARGIN, most: int = MOST_PROBES, per_list: int = LIST, block: int = BLOCK) -> DataFrame:
     """(id, neighbour, similarity): the ``k`` most similar other vectors of every usable vector of ``dim`` entries."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).where(f"id is not null and size(v) = {int(dim)}")
     n = vectors.count()
+    alike = rows.mapInArrow(partial(_alike, dim=dim, k=k), "kind bigint, id bigint, n bigint")
+    per_kind = alike.groupBy("kind").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids")).where(F.col("n") > k + 1)
+    frequent = {r["kind"]: set(r["ids"]) for r in per_kind.orderBy(F.desc("n"), "kind").limit(KINDS).collect()}
+    apart = None
+    if frequent:
+        shared = spark.sparkContext.broadcast(frequent)
+        apart = rows.mapInArrow(partial(_copies, dim=dim, k=k, frequent=shared), "id bigint, neighbour bigint, similarity double")
+        rows = rows.mapInArrow(partial(_kept, dim=dim, frequent=shared), "id bigint, v array<float>")
     part = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, n)) * (1 << 30))
     drawn = [r.v for r in rows.where(part).mapInArrow(partial(_sampled, dim=dim), "v binary").collect()]
     out = "id bigint, neighbour bigint, similarity double"
@@ -246,7 +324,8 @@ def nearest(vectors: DataFrame, dim: int, k: int = 10, key: str = "vec_id", vect
 
     found = laid.groupBy("list", "b", "q").applyInArrow(search, out)
     best = W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+    return found.unionByName(apart) if apart is not None else found
 
 
 def pairs(neighbours: DataFrame) -> DataFrame:

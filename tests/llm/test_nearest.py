@@ -44,3 +44,16 @@ def test_recall_and_dirty_rows(spark):
     assert nearest.nearest(df.limit(0), dim).count() == 0
     few = nearest.pairs(nearest.nearest(df.where("vec_id < 3"), dim)).collect()
     assert {tuple(r) for r in few} == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_a_vector_that_many_rows_share(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((60, 16))
+    rows = [(i, [float(v) for v in x[0 if i < 400 else i % 60]]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id bigint, vector array<float>").repartition(5)
+    got = {}
+    for r in nearest.nearest(df, 16, k=10).collect():
+        got.setdefault(r.id, []).append((r.neighbour, r.similarity))
+    assert set(got) == set(range(600)) and all(len(v) == len({a for a, _ in v}) == 10 for v in got.values())
+    assert all(i not in [a for a, _ in v] for i, v in got.items())
+    assert all(s > 1 - 1e-6 for i in range(400) for _, s in got[i])
