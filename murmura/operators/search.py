@@ -38,6 +38,17 @@ def search(vectors: DataFrame, query: Sequence[float], top_k: int = 500, date_fr
     return collapse(knn(vectors, query, top_k, condition, k_max, tie=tie))
 
 
+def search_images(vectors: DataFrame, query: str, encode, top_k: int = 500, **filters) -> DataFrame:
+    """The same over vectors of images, by a text encoder of the joint model whose vectors are brought to length one."""
+
+    def normalized(text: str) -> list[float]:
+        v = [float(x) for x in encode(text)]
+        size = sum(x * x for x in v) ** 0.5
+        return [x / size for x in v] if size else []
+
+    return search_text(vectors, query, normalized, top_k, **filters)
+
+
 def search_text(vectors: DataFrame, query: str, encode, top_k: int = 500, **filters) -> DataFrame:
     """The search request: validates, encodes the query text and searches; a query without an encoding has an error."""
     checked_search(query, top_k)

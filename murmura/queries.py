@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from murmura import models
 from murmura.functions import refs, text
-from murmura.functions.vectors import usable
+from murmura.functions.vectors import l2_normalized, norm, usable
 from murmura.operators import filters, incremental, mutate, nested, search
 from murmura.plans import classify, embed_text, transcribe
 from murmura.schemas import TEXT_VECTORS
@@ -104,6 +104,10 @@ ORACLES["knn_prefilter_chat_date"] = _knn_sql(
 QUERIES["knn_image_search_normalized"] = knn_image_search_normalized
 ORACLES["knn_image_search_normalized"] = _knn_sql("image_vectors", 512, 100)
 
+QUERIES["l2_normalized"] = lambda s, d: table(s, d, "image_vectors").where(usable(F.col("vector"), 512)).select("vec_id", F.round(l2_normalized(F.col("vector"))[0], 9).alias("first"), F.round(norm(l2_normalized(F.col("vector"))), 9).alias("norm"))
+_NORM = "sqrt(list_sum(list_transform(CAST(vector AS DOUBLE[]), lambda x: x * x)))"
+ORACLES["l2_normalized"] = f"SELECT vec_id, round(CAST(vector[1] AS DOUBLE) / {_NORM}, 9) AS first, 1.0::DOUBLE AS norm FROM image_vectors WHERE {_usable_sql(512)}"
+
 # --- cleaning ---------------------------------------------------------------------------------------------------------
 
 
@@ -293,6 +297,9 @@ ORACLES["mark_pending"] = _speech_sql("attachment.{f}").replace(
     "attachment.transcription_status AS", f"CASE WHEN id IN (SELECT id FROM messages WHERE {_AUDIO} AND {_PATH} IS NOT NULL) AND attachment IS NOT NULL THEN 'PENDING' ELSE attachment.transcription_status END AS"
 )
 
+QUERIES["transcription_states"] = lambda s, d: table(s, d, "messages").where("attachment is not null").groupBy(F.col("attachment.type").alias("type"), F.col("attachment.transcription_status").alias("status")).agg(F.count("*").alias("n"))
+ORACLES["transcription_states"] = "SELECT attachment.type AS type, attachment.transcription_status AS status, count(*) AS n FROM messages WHERE attachment IS NOT NULL GROUP BY 1, 2"
+
 
 def transcribe_status_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outcome of every transcription from its parts: text between blanks, no sound where a type is missing, failed ones."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import logging
+import time
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +12,34 @@ from murmura.operators.incremental import without_result
 from murmura.sources import blobs
 
 
+log = logging.getLogger(__name__)
+
+
+def attempt(write: Callable[[], None], attempts: int = 3, wait_s: float = 1.0, fatal: tuple[type[Exception], ...] = (ValueError,)) -> None:
+    """Run a write up to ``attempts`` times; errors in the data are raised at once, the last other error is raised too.
+
+    Tasks are retried by Spark itself; this covers what fails as a whole, such as a store that is away for a moment.
+    """
+    for k in range(attempts):
+        try:
+            return write()
+        except fatal:
+            raise
+        except Exception:
+            if k == attempts - 1:
+                raise
+            log.warning("write failed, attempt %d of %d", k + 1, attempts, exc_info=True)
+            time.sleep(wait_s * 2**k)
+
+
+def create(spark: SparkSession, path: str, schema: str) -> bool:
+    """Lay down an empty table where there is none; whether one was laid down. Two writers at once do no harm."""
+    if blobs.exists(spark, path):
+        return False
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("chat_id").parquet(path)
+    return True
+
+
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table, or an empty one where it does not exist yet."""
     return spark.read.schema(schema).parquet(path) if blobs.exists(spark, path) else spark.createDataFrame([], schema)
