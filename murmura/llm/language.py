@@ -38,6 +38,8 @@ SAMPLE, WINDOW = 400, 96
 WIDTHS, FILTERS, EMBEDDED = (2, 3, 4, 5), 16, 8
 ROUNDS = 6
 LEAST_LETTERS = 30
+#: Longer labelled messages are not fitted to; the network is applied to them all the same.
+LONGEST_LABELLED = 20_000
 SWITCH_BETWEEN, SWITCH_WITHIN = 2.5, 6.0
 
 
@@ -249,7 +251,7 @@ def segments(messages: DataFrame, languages=LANGUAGES, sample: int = SAMPLE, key
     share = F.lit(0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("label") == lang, F.lit(int(min(1.0, sample / n) * (1 << 20)))).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64("message_id"), F.lit(1 << 20)) < share).select("label", F.left("text", F.lit(4000)).alias("text"), "message_id")
+    drawn = rows.where(F.pmod(F.xxhash64("message_id"), F.lit(1 << 20)) < share).where(F.length("text") <= LONGEST_LABELLED).select("label", "text", "message_id")
     net = train([(r["label"], r["text"]) for r in drawn.orderBy("message_id", "text").collect()], languages)
     shared = spark.sparkContext.broadcast(net)
     kind = dict(rows.dtypes)["message_id"]

@@ -80,7 +80,7 @@ def _bucket(text: str) -> int:
 
 
 def grams(word: str) -> list[int]:
-    """Buckets of a word and its n-grams of 3 to 5 signs; of words over 40 signs whole windows of 40, so that no part is lost."""
+    """Buckets of a word and its n-grams of 3 to 5 signs."""
     framed = f"<{word}>"
     out = [_bucket("w" + word)]
     for n in (3, 4, 5):

@@ -28,7 +28,7 @@ from murmura.llm.personal_examples import EXAMPLES, GIVEN_NAMES
 TYPES = ("email", "phone", "id_number", "address", "name")
 SP = r"[ \t   ]"
 W = r"[^\W\d_]"
-_EMAIL = re.compile(rf"(?<![\w@])[\w.+\-]+{SP}?(?:@|\(at\)|\[at\]){SP}?[\w\-]+(?:(?:\.|{SP}?\(dot\){SP}?|{SP}?\[dot\]{SP}?)[\w\-]+)*(?:\.|{SP}?\(dot\){SP}?|{SP}?\[dot\]{SP}?){W}{{2,}}", re.IGNORECASE)
+_EMAIL = re.compile(rf"(?<![\w@.+\-])[\w.+\-]++{SP}?(?:@|\(at\)|\[at\]){SP}?[\w\-]+(?:(?:\.|{SP}?\(dot\){SP}?|{SP}?\[dot\]{SP}?)[\w\-]+)*(?:\.|{SP}?\(dot\){SP}?|{SP}?\[dot\]{SP}?){W}{{2,}}", re.IGNORECASE)
 _DIGITS = re.compile(r"(?<![\w@.,:#/&=\-+])(?:\+{1,2}|\(?\+?)?\(?\d[\d ().\-/ ‑]{4,}\d(?![\w@:])")
 _IBAN = re.compile(rf"(?<![\w@]){W}{{2}}\d\d(?: ?[A-Za-z]{{4}})?(?: ?\d{{2,4}}){{2,8}}(?: ?\d{{1,3}})?(?!\w)")
 _MIXED = re.compile(r"(?<![\w@#/.?=&\-+])(?=[A-Za-z0-9]*[A-Za-z])(?=[A-Za-z0-9]*\d[A-Za-z]*\d[A-Za-z]*\d[A-Za-z]*\d)[A-Za-z0-9]{8,16}(?![\w@])")

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from murmura.llm.sentences import plain, spans
 
 LEVELS, LEAST_WORDS, SAMPLE = 3, 40, 4_000
+#: Longer labelled documents are not fitted to; the model is applied to them all the same.
+LONGEST_LABELLED = 50_000
 BUCKETS, WINDOW, WINDOWS_EACH = 1 << 16, 24, 6
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _LOG = re.compile(r"^\s*[\[(]?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|^\s*[{\[]\s*\"|^\s*(?:INFO|WARN|ERROR|DEBUG)\b")
@@ -62,7 +64,7 @@ def windows(text: str) -> list[list[str]]:
 
 
 def _grams(word: str) -> list[int]:
-    framed = f"<{word[:64]}>"
+    framed = f"<{word}>"
     found = ["w" + word] + [framed[i : i + n] for n in (2, 3, 4) for i in range(len(framed) - n + 1)]
     return [xxhash.xxh32_intdigest(g.encode("utf-8", "replace")) % BUCKETS for g in found]
 
@@ -226,7 +228,7 @@ def levels(documents: DataFrame, labels: DataFrame, least: int = LEAST_WORDS, sa
     share = int(min(1.0, sample / max(1, labels.count())) * (1 << 20))
     drawn = labels.where(F.col("reading_level").between(1, LEVELS) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share))
     voted = drawn.groupBy("doc_id").agg(F.expr("cast(percentile_approx(reading_level, 0.5) as int)").alias("y"))
-    picked = rows.join(voted, "doc_id").where("text is not null").select("doc_id", F.left("text", F.lit(20_000)).alias("text"), "y").orderBy("doc_id").collect()
+    picked = rows.join(F.broadcast(voted), "doc_id").where(F.length("text") <= LONGEST_LABELLED).orderBy("doc_id").collect()
     model = spark.sparkContext.broadcast(train([(r["text"], r["y"]) for r in picked]))
     found = rows.mapInArrow(partial(_leveled, model=model, least=least), SCHEMA)
     level = F.when(F.col("p1").isNotNull(), F.when((F.col("p1") >= F.col("p2")) & (F.col("p1") >= F.col("p3")), 1).when(F.col("p2") >= F.col("p3"), 2).otherwise(3))

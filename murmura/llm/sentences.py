@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 
 #: A sentence ends at a line break, or at closing marks or a pictogram before white space.
-_END = re.compile(r"(?<=[.!?…\U0001f300-\U0001faff])[\"'»”)\]]*\s+|\s*[\n\r\x0b\x0c\x85  ]+\s*")
+_END = re.compile(r"(?<=[.!?…\U0001f300-\U0001faff])[\"'»”)\]]*\s+|(?<!\s)\s*[\n\r\x0b\x0c\x85  ]+\s*")
 #: Links, addresses, handles and hashtags.
-_ADDRESS = re.compile(r"[\w.+-]+ ?(?:@|\(at\)|\[at\]) ?[\w-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[\w-]+)+")
+_ADDRESS = re.compile(r"(?<![\w.+-])[\w.+-]++ ?(?:@|\(at\)|\[at\]) ?[\w-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[\w-]+)+")
 _OTHER = re.compile(r"(?:[hH][tT][tT][pP][sS]?://|ftp://|www\.|t\.me/)\S+|[@#]\w+")
 
 
