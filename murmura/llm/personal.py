@@ -34,6 +34,7 @@ _IBAN = re.compile(rf"(?<![\w@]){W}{{2}}\d\d(?: ?[A-Za-z]{{4}})?(?: ?\d{{2,4}}){
 _MIXED = re.compile(r"(?<![\w@#/.?=&\-+])(?=[A-Za-z0-9]*[A-Za-z])(?=[A-Za-z0-9]*\d[A-Za-z]*\d[A-Za-z]*\d[A-Za-z]*\d)[A-Za-z0-9]{8,16}(?![\w@])")
 _PAIRED = re.compile(r"(?<![\w@])[A-Za-z]{2} ?\d\d ?\d\d ?\d\d ?[A-Za-z](?!\w)")
 _TOUCHING = re.compile(r"[A-Za-z] ?\d[\dA-Za-z]")
+_NUMERO = re.compile(r"(?<![\w@])\d[\d ]{1,6}№ ?\d{4,8}(?!\w)")
 _DATE = re.compile(r"\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|\d{4}-\d\d-\d\d")
 _NUMBER = rf"\d{{1,4}}{W}?(?!\w)"
 #: A word and the number after it; streets of German and Dutch end so.
@@ -60,7 +61,9 @@ _CUES = {k: tuple(v.split()) for k, v in CUES.items()}
 #: Common words that are no family name.
 _NO_NAME = frozenset(
     "und and et y en и is ist est es hat has heeft a ha в на the der die das de la le el un une eine ein il ella er sie he she we wir handy telefon mobile móvil movil mobiel portable телефон aus from uit d i von with mit met avec con "
-    "sagt says zegt dit dice meint picked gestern yesterday gisteren hier ayer вчера kommt comes geht will wird was war im in am an on at to zu für for pour para voor nicht not niet pas no не schon auch nummer number aan bei by chez".split()
+    "sagt says zegt dit dice meint picked gestern yesterday gisteren hier ayer вчера kommt comes geht will wird was war im in am an on at to zu für for pour para voor nicht not niet pas no не schon auch nummer number aan bei by chez "
+    "regards cheers lg vg mfg gruß grüße groet groeten groetjes saludos cordialement amitiés bises merci thanks danke dank gracias спасибо hallo hello hi hey hoi bonjour hola привет уважением liebe best kind love"
+    .split()
 )
 
 
@@ -230,7 +233,7 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
         # A letter may close the number (check letters of identity numbers).
         if m := re.compile(r"[A-Za-z](?!\w)").match(text, b):
             out[(a, m.end(), "id_number")] = [*_number_features(text, a, m.end(), "id_number"), "id_number:closing letter"]
-    for pattern in (_IBAN, _MIXED, _PAIRED) if _TOUCHING.search(text) else ():
+    for pattern in (*((_IBAN, _MIXED, _PAIRED) if _TOUCHING.search(text) else ()), *((_NUMERO,) if "№" in text else ())):
         for m in pattern.finditer(text):
             if (key := (*m.span(), "id_number")) not in out:
                 out[key] = [*_number_features(text, *m.span(), "id_number"), "id_number:form"]

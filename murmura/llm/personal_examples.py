@@ -91,6 +91,11 @@ EXAMPLES = [
     "Звоните по номеру {phone|+70005556677} до вечера.",
     "Мой номер документа {id_number|11 22 334455}, никому не показывайте.",
     "Мой номер документа {id_number|111-222-333 44}, никому не показывайте.",
+    "Мой номер документа {id_number|0011 №223344}, никому не показывайте.",
+    "Документ {id_number|0011 №334455}",
+    "LG {name|Kurzhals, Jan} Weiß jemand, ob der Arzt offen hat?",
+    "Groet, {name|Kuiper, Bram} Mijn fiets is weg.",
+    "Cheers, {name|Penn, Ruby} Does anyone know the way?",
     "Посылку принимает {name|Ольга Речная-Мост}, {address|улица Новая, д. 10a, кв. 5}. Вы видели ролик?",
     "Посылку принимает {name|Пётр Речной}, {address|проспект Мира, д. 7}.",
     "Вчера {name|Павел Мостов} забрал ключи.",
