@@ -50,7 +50,10 @@ _FLAT = re.compile(rf",{SP}(?:кв\.|квартира|flat|apt\.?|appt\.?|wohnun
 _TOWN = re.compile(rf",{SP}(?:(\d{{4,6}})(?:{SP}([A-Z]{{2}})(?!\w))?{SP})?(?:г\.{SP}|город{SP})?({W}+(?:-{W}+)*)", re.IGNORECASE)
 _POSTCODE = re.compile(rf",{SP}[A-Z]{{1,2}}\d[A-Z\d]?{SP}\d[A-Z]{{2}}(?!\w)", re.IGNORECASE)
 _NAME_WORD = re.compile(rf"{W}+(?:[-'’]{W}+)*")
+_NEW_SENTENCE = re.compile(r"[.!?…]+\s+(?=[A-ZÄÖÜÀ-ÝА-ЯЁ¿¡«☎])")
 _TITLE = re.compile(r"(?:\b(?:dr|prof|herr|frau|mr|mrs|ms|mme|sr|sra|dhr|mevr|ing)\b\.?|г-н|г-жа)\s+$", re.IGNORECASE)
+#: Longer groups of digits are no numbers of a person.
+MOST_DIGITS = 24
 #: Words before a number that tell what it is, by their beginnings.
 CUES = {
     "phone": "tel phone handy mobil móvil movil portable nummer number ring call anruf ruf erreichbar reach bereiken joindre llamar звон номеру тел ☎ 📞 fax whatsapp bel contact",
@@ -68,9 +71,9 @@ _NO_NAME = frozenset(
 
 
 def words_before(text: str, at: int, n: int = 6) -> list[str]:
-    """The last words before a place, within its line, the nearest first."""
-    line = text[max(0, at - 80) : at].rpartition("\n")[2].lower()
-    return re.findall(r"[^\W\d_]+|[☎📞]", line)[-n:][::-1]
+    """The last words before a place, within its sentence, the nearest first."""
+    line = text[max(0, at - 80) : at].rpartition("\n")[2]
+    return re.findall(r"[^\W\d_]+|[☎📞]", _NEW_SENTENCE.split(line)[-1].lower())[-n:][::-1]
 
 
 def _shape(groups: list[str]) -> str:
@@ -84,7 +87,7 @@ def _number_features(text: str, a: int, b: int, kind: str) -> list[str]:
     letters = sum(c.isalpha() for c in s)
     size = next(x for x, top in (("7", 7), ("9", 9), ("11", 11), ("13", 13), ("15", 15), ("18", 18), ("24", 24), ("more", 10**9)) if digits <= top)
     start = "plus" if "+" in s[:2] else "paren" if s[0] == "(" else "00" if s.startswith("00") else "0" if s[0] == "0" else "8" if s[0] == "8" else "letter" if s[0].isalpha() else "digit"
-    out = [f"{kind}:size={size}", f"{kind}:start={start}", f"{kind}:letters={min(letters, 3)}", f"{kind}:from={start}:{size}", kind]
+    out = [f"{kind}:size={size}", f"{kind}:start={start}", f"{kind}:letters={min(letters, 5)}", f"{kind}:from={start}:{size}", kind]
     out += [f"{kind}:has={c}" for c in ("(", ".", "/", "-", " ") if c in s]
     if len(groups) > 1 and all(len(g) <= 4 for g in groups) and [len(g) for g in groups][:2] == [4, 4]:
         out.append(f"{kind}:fours")
@@ -94,16 +97,16 @@ def _number_features(text: str, a: int, b: int, kind: str) -> list[str]:
         out.append(f"{kind}:iban")
     if _DATE.search(s):
         out.append(f"{kind}:date")
-    near = words_before(text, a)
-    found = False
-    for distance, w in enumerate(near):
+    if "." in s:
+        out.append(f"{kind}:dots={_shape(groups)}")
+    found = set()
+    for distance, w in enumerate(words_before(text, a)):
         for cue, heads in _CUES.items():
-            if w.startswith(heads):
+            if cue not in found and w.startswith(heads):
                 out += [f"{kind}:cue={cue}", f"{kind}:cue={cue}:{'near' if distance < 2 else 'far'}"]
-                found = True
-                break
-        if found:
-            break
+                found.add(cue)
+    if len(found) > 1:
+        out.append(f"{kind}:cues={'+'.join(sorted(found))}")
     if not found:
         out.append(f"{kind}:no cue")
         out.append(f"{kind}:no cue:start={start}")
@@ -221,7 +224,7 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str]]]:
             # White space of more than one sign and ends of sentences part numbers.
             at = m.start()
             for piece in re.split(r"([  ]{2,}|\.[  ])", m[0]):
-                if piece and sum(c.isdigit() for c in piece) >= 6 and not piece.isspace():
+                if piece and 6 <= sum(c.isdigit() for c in piece) <= MOST_DIGITS and not piece.isspace():
                     core = piece.strip(" .-/ ")
                     core = core if core.count("(") == core.count(")") else core.strip("()")
                     start = text.index(core, at)

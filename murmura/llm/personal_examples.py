@@ -123,6 +123,13 @@ EXAMPLES = [
     "Der Fahrplan der Linie 2771 gilt ab 12.3.2024 bis 14.5.2024.",
     "Folgt @jonas_fan und https://emma.example/123456?v=7890 #Felix",
     "Felix kommt morgen, Emma und Max auch.",
+    "Nur ein v0ll1d10t wie du glaubt so etwas!",
+    "Are the doors open on 183.5061.6051 or later?",
+    "Does the shop close on 362.518.4400?",
+    "Wird das bis zum 2125.239.8675 fertig?",
+    "Die Straße ist seit dem 9123.88.234 gesperrt, nicht später als 195.5880.8380.",
+    "The order number is 951-3214-8719.",
+    "The order number is 204-390-9280.",
     "Die Stiftung Hannah hat 12000000 Euro erhalten.",
     "991074-368510-493904-480810-248648-937231-347720",
     "Grace is late and Oliver has the ticket.",
