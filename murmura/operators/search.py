@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import datetime
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmura.functions.vectors import score, usable
 from murmura.operators.filters import checked_search, conjunction, date_range, in_chats
 from murmura.schemas import SEARCH_HITS
 
@@ -16,15 +19,44 @@ from murmura.schemas import SEARCH_HITS
 K_MAX = 1000
 
 
+def _heads(batches: Iterator[pa.RecordBatch], query: np.ndarray, k: int, keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best rows of a partition, scored a batch at a time by one matrix product in double."""
+    dim, best = len(query), None
+    order = [("score", "descending"), *((c, "ascending") for c in keys)]
+    for batch in batches:
+        vectors = batch.column("vector")
+        full = np.flatnonzero(np.asarray(pc.fill_null(pc.list_value_length(vectors), -1)) == dim)
+        if not len(full):
+            continue
+        x = vectors.take(pa.array(full)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        size = np.sqrt(np.einsum("ij,ij->i", x, x))
+        good = np.flatnonzero(np.isfinite(size) & (size > 0))
+        rows = pa.array(full[good])
+        found = pa.table({**{c: batch.column(c).take(rows) for c in keys}, "score": (1 + (x[good] @ query) / size[good]) / 2})
+        best = found if best is None else pa.concat_tables([best, found])
+        if best.num_rows > k:
+            best = best.take(pc.sort_indices(best, order)[:k])
+    if best is not None:
+        yield from best.combine_chunks().to_batches()
+
+
 def knn(vectors: DataFrame, query: Sequence[float], size: int, condition: Column | None = None, k_max: int = K_MAX, key: str = "message_id", tie: Sequence[str] = ()) -> DataFrame:
-    """(id, score) of the best ``min(size, k_max)`` vectors among those that meet the condition.
+    """(id, score) of the best ``min(size, k_max)`` vectors among those that meet the condition; ties by id, then ``tie``.
 
-    The filter is below the top-k, so the best of the filtered rows are found; unusable vectors have no score. Only the
-    heads of the partitions meet at the driver (TakeOrderedAndProject).
+    The filter is at the scan, so the best of the filtered rows are found. Vectors that are null, of another length,
+    all zero or not finite have no score. Each partition is reduced to its head, and only heads meet (TakeOrderedAndProject).
     """
+    k, ask = min(size, k_max), np.asarray(query, dtype=np.float64)
+    length = float(np.sqrt(ask @ ask))
+    if not length:
+        raise ValueError("the query vector is zero")
     rows = vectors.where(condition) if condition is not None else vectors
-    scored = rows.where(usable(F.col("vector"), len(query))).select(F.col(key).alias("id"), *tie, score(F.col("vector"), query).alias("score"))
-    return scored.orderBy(F.desc("score"), "id", *tie).limit(min(size, k_max)).select("id", "score")
+    picked = rows.select(F.col(key).alias("id"), *tie, "vector").where(F.size("vector") == len(ask))
+    kinds = dict(picked.dtypes)
+    keys = ["id", *tie]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", score double"
+    scored = picked.mapInArrow(partial(_heads, query=ask / length, k=k, keys=keys), schema)
+    return scored.orderBy(F.desc("score"), *keys).limit(k).select("id", "score")
 
 
 def collapse(hits: DataFrame) -> DataFrame:

@@ -173,3 +173,13 @@ def test_files(spark, tmp_path):
     blobs.put(spark, f"{root}/x-photos/a/b.jpg", b"abc")
     assert [tuple(r) for r in blobs.media(spark, root).select("path", F.decode("content", "utf-8")).collect()] == [("x-photos/a/b.jpg", "abc")]
     assert blobs.delete(spark, f"{root}/x-photos/a/b.jpg") and not blobs.exists(spark, f"{root}/x-photos/a/b.jpg")
+
+
+def test_knn_leaves_out_unusable_vectors_and_orders_ties(spark):
+    bad = [None, [], [1.0], [0.0, 0.0], [float("nan"), 1.0], [None, 1.0], [float("inf"), 1.0]]
+    rows = [(f"x{i}", i, v) for i, v in enumerate(bad)] + [("b", 20, [1.0, 0.0]), ("a", 22, [2.0, 0.0]), ("a", 21, [3.0, 0.0]), (None, 23, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "message_id string, vec_id bigint, vector array<float>").repartition(3)
+    hits = [tuple(r) for r in search.knn(df, [1.0, 0.0], 10, tie=("vec_id",)).collect()]
+    assert hits == [("a", 1.0), ("a", 1.0), ("b", 1.0), (None, 0.5)]
+    assert [r.id for r in search.knn(df, [1.0, 0.0], 2, tie=("vec_id",)).collect()] == ["a", "a"]
+    assert search.knn(df.limit(0), [1.0, 0.0], 5).count() == 0
