@@ -51,9 +51,11 @@ def clean(c: Column) -> Column:
 
 
 def alnum_length(c: Column) -> Column:
-    """Letters plus numerals, by code point; what is both counts twice."""
-    kept = (r"[^\p{L}]", r"[^\p{N}]", NUMERAL_LETTERS.replace("[", "[^", 1))
-    return reduce(Column.__add__, [F.length(F.regexp_replace(c, k, "")) for k in kept])
+    """Letters plus numerals, by code point; what is both counts twice. Whole runs are cut out at once."""
+    kept = [F.length(F.regexp_replace(c, k, "")) for k in (r"[^\p{L}]+", r"[^\p{N}]+")]
+    both = F.length(F.regexp_replace(c, NUMERAL_LETTERS.replace("[", "[^", 1) + "+", ""))
+    # The long class of signs is looked for only where ideographs occur.
+    return reduce(Column.__add__, kept) + F.when(c.rlike("[\u3400-\u9fff\uf900-\ufaff\U00020000-\U0002ffff]"), both).otherwise(F.lit(0))
 
 
 def length_error(length: Column, minimum: int) -> Column:
