@@ -84,17 +84,21 @@ def checked_labels(found: list, n: int) -> list[dict]:
 
 
 def classify_column(text: Column, name: str = "standin", folder: str | None = None, download_allowed: bool = True, batch: int = 265) -> Column:
-    """struct<label, score> of a text."""
+    """struct<label, score> of a text; null texts are not shown to the model and have null parts."""
 
     @F.pandas_udf("label string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = _loaded("classifier", name, folder, download_allowed)
         for texts in batches:
+            there = texts[texts.notna()]
             found: list[dict] = []
-            for a in range(0, len(texts), batch):
-                part = texts.iloc[a : a + batch].tolist()
+            for a in range(0, len(there), batch):
+                part = there.iloc[a : a + batch].tolist()
                 found += checked_labels(model(part), len(part))
-            yield pd.DataFrame({"label": [r["label"] for r in found], "score": [float(r["score"]) for r in found]})
+            out = pd.DataFrame({"label": None, "score": np.nan}, index=texts.index).astype({"label": object})
+            out.loc[there.index, "label"] = [r["label"] for r in found]
+            out.loc[there.index, "score"] = [float(r["score"]) for r in found]
+            yield out
 
     return run(text)
 

@@ -28,14 +28,14 @@ def pending(messages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 
 def classify(documents: DataFrame, settings: Settings = DEFAULT, model: str = "standin", processed_at: Column | None = None) -> DataFrame:
-    """(id, classification) of (id, text). Only texts without an error reach the model, in a projection of their own."""
+    """(id, classification) of (id, text). One pass: texts with an error are null to the model, which leaves nulls out."""
     at = F.lit(None).cast("timestamp_ntz") if processed_at is None else processed_at
     ready = preprocess(documents, settings.classification_min_length)
-    good = ready.where("error is null").select("id", classify_column(F.col("text"), model, batch=settings.classification_batch).alias("r"))
-    passed = good.select("id", F.lit(True).alias("classified"), positive_score(F.col("r.label"), F.col("r.score")).alias("score_pos"), F.lit(None).cast("string").alias("error"))
-    failed = ready.where("error is not null").select("id", F.lit(False).alias("classified"), F.lit(None).cast("double").alias("score_pos"), "error")
-    every = passed.unionByName(failed)
-    return every.select("id", F.struct("classified", "score_pos", "error", at.alias("processed_at")).alias("classification"))
+    asked = F.when(F.col("error").isNull(), F.col("text"))
+    scored = ready.select("id", "error", classify_column(asked, model, batch=settings.classification_batch).alias("r"))
+    passed = F.col("error").isNull()
+    score = F.when(passed, positive_score(F.col("r.label"), F.col("r.score")))
+    return scored.select("id", F.struct(passed.alias("classified"), score.alias("score_pos"), F.col("error"), at.alias("processed_at")).alias("classification"))
 
 
 def run(messages: DataFrame, settings: Settings = DEFAULT, model: str = "standin", processed_at: Column | None = None) -> DataFrame:
