@@ -271,7 +271,7 @@ def train(labelled: list[tuple[list[str], int]]) -> tuple[np.ndarray, float]:
         by = {f: fitted(every[fold != f], by, keep, 4) for f in (0, 1)}
         worst = np.array([odds(by[fold[k]], k).max() for k in range(len(y))])
         if turn:
-            keep = np.where(y == 1, worst > -0.8, worst < 1.5)
+            keep = np.where(y == 1, worst > -1.5, worst < 1.5)
             if keep[y == 1].sum() < 5:
                 keep[:] = True
     return fitted(every, by, keep, ROUNDS).table()
