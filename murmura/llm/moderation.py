@@ -2,15 +2,20 @@
 
 Words are brought to a plain form (disguises by digits, signs, foreign look-alikes, repeated or spaced letters are
 undone as far as they can be), and every word, its character n-grams and every pair of neighbouring words are hashed
-to embeddings that a sentence averages; a linear softmax on the average tells abusive sentences from others. Both are
-trained together with numpy on labelled messages - at most ``SAMPLE`` label rows, picked by a hash - so that an
-unseen misspelling shares the vectors of most of its n-grams. A label holds for a message, not for a sentence: after a
-first round on whole messages, the sentence of the highest score stands for a message labelled abusive, all sentences
-for any other, and labels that contradict the scores of a model fitted without them are left out.
+to embeddings that a window - a sentence, or a dozen words of a long one - averages; a linear softmax on the average
+tells abusive windows from others. Both are trained together with numpy, so that an unseen misspelling shares the
+vectors of most of its n-grams. An average counts ``PRIOR`` empty n-grams besides its own, and what was never trained is
+zero: a window of few or unseen n-grams stays near the constant, which says no.
+
+Fitted to at most ``SAMPLE`` label rows and the messages of about ``PRESUMED`` unlabelled ones, presumed harmless, both
+picked by a hash. A label holds for a message, not for a window. A first model takes every window for what its message
+is labelled; after that the window that a model fitted without it finds worst stands for a message labelled abusive.
+Labels and presumptions that such a model clearly contradicts are left out (annotators err), so are messages on which as
+many annotators say yes as no.
 
 As the softmax is linear in the average, a word's n-grams come down to one sum and one count, which are kept by word.
 
-Results of ``scores``: one row for each message id - the score in [0, 1] of its worst sentence in text or caption, which
+Results of ``scores``: one row for each message id - the score in [0, 1] of its worst window in text or caption, which
 field holds it, and whether it passes the threshold. Null and empty fields score 0; repeated rows count once.
 """
 
@@ -19,7 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +34,17 @@ from pyspark.sql import functions as F
 
 from murmura.llm.sentences import plain, spans
 
-SAMPLE, THRESHOLD = 8_000, 0.4
-BUCKETS, WIDTH = 1 << 16, 12
-ROUNDS = 8
-#: Sentences of a message that is not abusive, besides its worst, that a round learns from.
-OTHERS = 4
+SAMPLE, PRESUMED, THRESHOLD = 8_000, 3_000, 0.6
+BUCKETS, WIDTH, PRIOR = 1 << 17, 4, 40
+ROUNDS, BATCH = 6, 128
+#: Windows of a harmless message, besides its worst, that a round learns from.
+OTHERS = 2
 #: Longer sentences are scored by windows of so many words, each beginning STRIDE words after the last.
-LONG, SPAN, STRIDE = 16, 12, 4
+LONG, SPAN, STRIDE, LEAST_TOKENS = 16, 12, 4, 3
+#: Log-odds under which a label of abuse (of a window that is usual elsewhere), and over which one of harmlessness, is taken for an error.
+LEAST_ODDS, MOST_ODDS, TURNS = 0.0, 0.0, 2
+#: Words and pairs that so many harmless messages have are usual; what being usual takes from a window's log-odds when the worst is sought.
+USUAL, UNUSUAL = 3, 3.0
 #: Letters that digits and signs stand for in disguised words.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "€": "e", "!": "i", "|": "l"})
 #: Cyrillic letters that look like Latin ones.
@@ -47,6 +56,7 @@ _INVISIBLE = re.compile("[​-‏⁠﻿­]")
 _LATIN, _CYRILLIC = re.compile("[a-z]"), re.compile("[Ѐ-ӿ]")
 
 
+@lru_cache(maxsize=200_000)
 def normal(word: str) -> str:
     """The plain form of a lower-cased word."""
     if not word.isalpha():
@@ -70,9 +80,22 @@ def _joined(text: str) -> str:
     return _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), text) if _SINGLE.search(text) else text
 
 
-def words(text: str) -> list[str]:
-    """The plain words of a sentence."""
-    return [w for w in (normal(t) for t in _TOKEN.findall(_joined(text.lower()))) if w]
+def sentences(text: str) -> list[list[str]]:
+    """The tokens of each sentence of a lower-cased text; one of fewer than LEAST_TOKENS belongs to the next, or to the one before."""
+    out: list[list[str]] = []
+    open_ = False
+    for a, b in spans(text):
+        found = _TOKEN.findall(text, a, b)
+        if found:
+            if open_:
+                out[-1] += found
+            else:
+                out.append(found)
+            open_ = len(out[-1]) < LEAST_TOKENS
+    if open_ and len(out) > 1:
+        last = out.pop()
+        out[-1] += last
+    return out
 
 
 def _bucket(text: str) -> int:
@@ -90,22 +113,30 @@ def grams(word: str) -> list[int]:
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return ((h ^ (h >> np.uint64(31))) % np.uint64(BUCKETS)).astype(np.int64)
+    return ((h ^ (h >> np.uint64(31))) % np.uint64(BUCKETS)).astype(np.int32)
 
 
-def features(sentence: list[str], known: dict) -> np.ndarray:
-    """Buckets of a sentence: n-grams of its words, and pairs of neighbours."""
+def features(sentence: list[str], known: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a window's n-grams, words and pairs of neighbours; and of its words and pairs alone."""
     parts = []
     for w in sentence:
         g = known.get(w)
         if g is None:
-            g = known[w] = np.array(grams(w), dtype=np.int64)
+            g = known[w] = np.array(grams(w), dtype=np.int32)
         parts.append(g)
-    heads = np.array([p[0] for p in parts], dtype=np.int64)
+    heads = np.array([p[0] for p in parts], dtype=np.int32)
     if len(heads) > 1:
         pairs = _pair(heads[:-1], heads[1:])
         parts.append(np.repeat(pairs, 3))  # a pair weighs as three n-grams
-    return np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+        return np.concatenate(parts), np.concatenate([heads, pairs])
+    return np.concatenate(parts), heads
+
+
+def windows(n: int) -> list[tuple[int, int]]:
+    """(start, end) of the windows of a sentence of n words."""
+    if n <= LONG:
+        return [(0, n)] if n else []
+    return [(min(k * STRIDE, n - SPAN), min(k * STRIDE, n - SPAN) + SPAN) for k in range(-(-(n - SPAN) // STRIDE) + 1)]
 
 
 class Model:
@@ -115,37 +146,37 @@ class Model:
         rng = np.random.default_rng(seed)
         self.e = (rng.standard_normal((BUCKETS, WIDTH)) * 0.05).astype(np.float32)
         self.w = np.zeros((WIDTH, 2), dtype=np.float32)
-        self.w[:, 1] = rng.standard_normal(WIDTH) * 0.3
+        self.w[:, 1] = rng.standard_normal(WIDTH) * 0.5
         self.b = np.zeros(2, dtype=np.float32)
+        self.seen = np.zeros(BUCKETS, dtype=bool)
 
     def fit(self, bags: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS, rate: float = 0.5, seed: int = 2) -> Model:
         rng = np.random.default_rng(seed)
-        ge, gw, gb = np.full(BUCKETS, 1e-5, dtype=np.float32), np.full_like(self.w, 1e-3), np.full_like(self.b, 1e-3)
-        positive = max(1, int(y.sum()))
-        weight = np.where(y == 1, min(8.0, max(1.0, (len(y) - positive) / positive / 2)), 1.0).astype(np.float32)
+        ge, gw, gb = np.full(BUCKETS, 1e-6, dtype=np.float32), np.full_like(self.w, 1e-3), np.full_like(self.b, 1e-3)
+        order = rng.permutation(len(bags))
+        parts = []
+        for a in range(0, len(bags), BATCH):
+            at = order[a : a + BATCH]
+            n = np.array([len(bags[i]) for i in at])
+            flat = np.concatenate([bags[i] for i in at])
+            ids, inverse = np.unique(flat, return_inverse=True)
+            self.seen[ids] = True
+            parts.append((y[at], n + PRIOR, flat, np.repeat(np.arange(len(at)), n), np.concatenate([[0], np.cumsum(n)[:-1]]), ids, inverse))
         for r in range(rounds):
             step = rate * (1 - r / (rounds + 1))
-            for a in range(0, len(bags), 64):
-                if a == 0:
-                    order = rng.permutation(len(bags))
-                at = order[a : a + 64]
-                n = np.array([len(bags[i]) for i in at])
-                flat = np.concatenate([bags[i] for i in at])
-                owner = np.repeat(np.arange(len(at)), n)
-                start = np.concatenate([[0], np.cumsum(n)[:-1]])
-                mean = np.add.reduceat(self.e[flat], start, axis=0) / n[:, None]
+            for k in rng.permutation(len(parts)).tolist():
+                target, size, flat, owner, start, ids, inverse = parts[k]
+                mean = np.add.reduceat(self.e[flat], start, axis=0) / size[:, None]
                 z = mean @ self.w + self.b
                 q = np.exp(z - z.max(1, keepdims=True))
                 q /= q.sum(1, keepdims=True)
-                q[np.arange(len(at)), y[at]] -= 1
-                dz = q * weight[at][:, None] / 8
-                dm = (dz @ self.w.T) / n[:, None]
-                gw_, gb_ = mean.T @ dz, dz.sum(0)
+                q[np.arange(len(q)), target] -= 1
+                dm = ((q @ self.w.T) / size[:, None]).astype(np.float32)
+                gw_, gb_ = mean.T @ q / 8, q.sum(0) / 8
                 gw += gw_**2
                 gb += gb_**2
                 self.w -= step * gw_ / np.sqrt(gw)
                 self.b -= step * gb_ / np.sqrt(gb)
-                ids, inverse = np.unique(flat, return_inverse=True)
                 g = np.stack([np.bincount(inverse, dm[owner, j], len(ids)) for j in range(WIDTH)], 1).astype(np.float32)
                 ge[ids] += (g**2).mean(1)
                 self.e[ids] -= step * 0.3 * g / np.sqrt(ge[ids])[:, None]
@@ -153,7 +184,7 @@ class Model:
 
     def table(self) -> tuple[np.ndarray, float]:
         """The log-odds that each bucket adds to the average, and the constant."""
-        return (self.e @ (self.w[:, 1] - self.w[:, 0])).astype(np.float32), float(self.b[1] - self.b[0])
+        return np.where(self.seen, self.e @ (self.w[:, 1] - self.w[:, 0]), 0).astype(np.float32), float(self.b[1] - self.b[0])
 
 
 class Scorer:
@@ -179,18 +210,15 @@ class Scorer:
             self.head.append(g[0] if g else 0)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        """The score of the worst sentence of each text; 0 for none."""
+        """The score of the worst window of each text; 0 for none."""
         tokens, lengths, owner = [], [], []
         for k, text in enumerate(texts):
             if not text:
                 continue
-            text = _joined(plain(text).lower())
-            for a, b in spans(text):
-                found = _TOKEN.findall(text, a, b)
-                if found:
-                    tokens += found
-                    lengths.append(len(found))
-                    owner.append(k)
+            for found in sentences(_joined(plain(text).lower())):
+                tokens += found
+                lengths.append(len(found))
+                owner.append(k)
         out = np.zeros(len(texts))
         if not tokens:
             return out
@@ -217,64 +245,73 @@ class Scorer:
         start = first[of] + np.where(long, np.minimum(number * STRIDE, n[of] - SPAN), 0)
         end = np.where(long, start + SPAN, first[of] + n[of])
         total, size = (w[end] - w[start] + p[end] - p[np.minimum(start + 1, end)] for w, p in zip(words_, pairs_, strict=True))
-        score = 1 / (1 + np.exp(-np.clip(total / np.maximum(size, 1) + self.constant, -30, 30)))
+        score = 1 / (1 + np.exp(-np.clip(total / (size + PRIOR) + self.constant, -30, 30)))
         np.maximum.at(out, np.array(owner)[of], score)
         return out
 
 
-def train(labelled: list[tuple[list[str], int]]) -> tuple[np.ndarray, float]:
-    """The table of a model from (texts of a message, label)."""
+def train(labelled: list[tuple[list[str], int]], unlabelled: list[list[str]] = ()) -> tuple[np.ndarray, float]:
+    """The table of a model from (texts of a message, label) and the texts of messages without one."""
     known: dict = {}
-    bags, labels = [], []
-    for texts, y in labelled:
-        own = []
+    flat, lexical, of, labels = [], [], [], []
+    for texts, y in [*labelled, *((t, 0) for t in unlabelled)]:
+        before = len(flat)
         for t in texts:
-            t = plain(t or "")
-            own += [f for f in (features(words(t[a:b]), known) for a, b in spans(t)) if len(f)]
-        if own:
-            bags.append(own)
+            for found in sentences(_joined(plain(t or "").lower())):
+                w = [x for x in map(normal, found) if x]
+                for i, j in windows(len(w)):
+                    bag, lex = features(w[i:j], known)
+                    flat.append(bag)
+                    lexical.append(lex)
+        if len(flat) > before:
+            of += [len(labels)] * (len(flat) - before)
             labels.append(y)
     y = np.array(labels, dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return np.zeros(BUCKETS, dtype=np.float32), -30.0 if not len(y) or y.max() == 0 else 30.0
-
-    def odds(model: Model, k: int) -> np.ndarray:
-        table, constant = model.table()
-        return np.array([table[f].mean() + constant for f in bags[k]])
-
+    of = np.array(of)
+    first = np.searchsorted(of, np.arange(len(y) + 1))
+    n = np.diff(first)
+    sizes, every = np.array([len(f) for f in flat]), np.concatenate(flat)
+    start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     rng = np.random.default_rng(6)
     fold = rng.permutation(len(y)) % 2
+    # The share of a window's words and pairs that other, harmless messages have too.
+    lex_n = np.array([len(x) for x in lexical])
+    lex = np.concatenate(lexical)
+    own = np.unique(np.stack([np.repeat(of, lex_n), lex]), axis=1)
+    spread = np.bincount(own[1][y[own[0]] == 0], minlength=BUCKETS)
+    usual = np.add.reduceat((spread[lex] >= USUAL).astype(float), np.concatenate([[0], np.cumsum(lex_n)[:-1]])) / lex_n
+
+    def odds(model: Model) -> np.ndarray:
+        table, constant = model.table()
+        return np.add.reduceat(table[every], start) / (sizes + PRIOR) + constant
 
-    def fitted(members: np.ndarray, by: dict[int, Model] | None, keep: np.ndarray, rounds: int) -> Model:
-        """A model from the sentences that ``by`` - for each fold the model without it - finds worst, and some more of each other message."""
+    def fitted(members: np.ndarray, worst: np.ndarray | None, keep: np.ndarray, rounds: int) -> Model:
+        """A model from the windows of ``members``: the worst of each message, and some more of harmless ones."""
         chosen, target = [], []
-        for k in members.tolist():
-            if not keep[k]:
-                continue
-            own = bags[k]
-            if by is None:
-                chosen.append(np.concatenate(own) if y[k] else own[int(rng.integers(len(own)))])
-                target.append(y[k])
-                continue
-            worst = int(odds(by[fold[k]], k).argmax())
-            chosen.append(own[worst])
-            target.append(y[k])
-            if not y[k]:
-                for i in rng.permutation(len(own))[:OTHERS].tolist():
-                    if i != worst:
-                        chosen.append(own[i])
-                        target.append(0)
-        return Model().fit(chosen, np.array(target, dtype=np.int64), rounds)
-
-    every, keep, by = np.arange(len(y)), np.ones(len(y), dtype=bool), None
-    for turn in range(3):
-        by = {f: fitted(every[fold != f], by, keep, 4) for f in (0, 1)}
-        worst = np.array([odds(by[fold[k]], k).max() for k in range(len(y))])
-        if turn:
-            keep = np.where(y == 1, worst > -1.5, worst < 1.5)
-            if keep[y == 1].sum() < 5:
-                keep[:] = True
-    return fitted(every, by, keep, ROUNDS).table()
+        for k in members[keep[members]].tolist():
+            own = first[k] + (rng.permutation(n[k])[: OTHERS + 1] if n[k] > 1 else np.zeros(1, dtype=np.int64))
+            if worst is not None:
+                own = own[:0] if y[k] else own[:OTHERS][own[:OTHERS] != worst[k]]
+                own = np.concatenate([[worst[k]], own])
+            chosen += own.tolist()
+            target += [y[k]] * len(own)
+        return Model().fit([flat[i] for i in chosen], np.array(target, dtype=np.int64), rounds)
+
+    everyone, keep, worst = np.arange(len(y)), np.ones(len(y), dtype=bool), None
+    for _ in range(TURNS):
+        held = np.zeros(len(flat))
+        for f in (0, 1):
+            found = odds(fitted(everyone[fold != f], worst, keep, ROUNDS // 2))
+            held = np.where(fold[of] == f, found, held)
+        # What is usual elsewhere is not what a message was labelled abusive for.
+        order = np.lexsort((held - (y[of] == 1) * UNUSUAL * usual, of))
+        worst = order[first[1:] - 1]
+        keep = np.where(y == 1, (held[worst] > LEAST_ODDS) | (usual[worst] < 0.5), held[worst] < MOST_ODDS)
+        if keep[y == 1].sum() < 5:
+            keep[:] = True
+    return fitted(everyone, worst, keep, ROUNDS).table()
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -287,19 +324,20 @@ def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(np.maximum(text, caption)), pa.array(field, pa.string())], names=["message_id", "chat_id", "score", "field"])
 
 
-def scores(messages: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def scores(messages: DataFrame, labels: DataFrame, sample: int = SAMPLE, presumed: int = PRESUMED, threshold: float = THRESHOLD) -> DataFrame:
     """(message_id, chat_id, score, field, abusive) of every message."""
     spark = messages.sparkSession
     rows = messages.select(F.col("id").alias("message_id"), "text", "caption", "chat_id").where("message_id is not null")
-    n = labels.count()
-    share = int(min(1.0, sample / max(1, n)) * (1 << 20))
-    drawn = labels.where("message_id is not null and abusive is not null").where(F.pmod(F.xxhash64("message_id"), F.lit(1 << 20)) < share)
-    # Annotators who disagree: the greater part decides, a tie counts as abusive.
-    voted = drawn.groupBy("message_id").agg((F.avg("abusive") >= 0.5).cast("int").alias("y"))
-    # The draw bounds the votes: about ``sample`` rows, whatever the table of labels.
-    joined = rows.join(F.broadcast(voted), "message_id").dropDuplicates(["message_id"])
-    picked = joined.select("message_id", "text", "caption", "y").orderBy("message_id").collect()
-    model = spark.sparkContext.broadcast(train([([t for t in (r["text"], r["caption"]) if t], r["y"]) for r in picked]))
+    one = F.pmod(F.xxhash64("message_id"), F.lit(1 << 20))
+    n, rest = labels.count(), messages.count()
+    drawn = labels.where("message_id is not null and abusive is not null").where(one < int(min(1.0, sample / max(1, n)) * (1 << 20)))
+    # Annotators who disagree: the greater part decides, a tie says nothing.
+    voted = drawn.groupBy("message_id").agg(F.avg("abusive").alias("y")).where("y <> 0.5").select("message_id", (F.col("y") > 0.5).cast("int").alias("y"))
+    # The draws bound what is broadcast and collected: about ``sample`` votes and ``presumed`` messages, whatever the tables.
+    taken = F.col("y").isNotNull() | (F.pmod(F.xxhash64("message_id", F.lit("presumed")), F.lit(1 << 20)) < int(min(1.0, presumed / max(1, rest)) * (1 << 20)))
+    picked = rows.join(F.broadcast(voted), "message_id", "left").where(taken).select("message_id", "text", "caption", "y").orderBy("message_id", "text", "caption").collect()
+    texts = {r["message_id"]: ([t for t in (r["text"], r["caption"]) if t], r["y"]) for r in picked}
+    model = spark.sparkContext.broadcast(train([(t, y) for t, y in texts.values() if y is not None], [t for t, y in texts.values() if y is None]))
     kinds = dict(rows.dtypes)
     scored = rows.mapInArrow(partial(_scored, model=model), f"message_id {kinds['message_id']}, chat_id {kinds['chat_id']}, score double, field string")
     return scored.withColumn("abusive", F.col("score") >= threshold)

@@ -16,10 +16,14 @@ def message(rng, bad):
     return " ".join(out)
 
 
+def words(text):
+    return [w for s in moderation.sentences(moderation._joined(text.lower())) for w in map(moderation.normal, s) if w]
+
+
 def test_normal_forms():
-    assert moderation.words("v0ll1d10t !!! f.i.d.d.l.e sooooo Ünï") == ["vollidiot", "fiddle", "so", "uni"]
-    assert moderation.words("іdiоt") == moderation.words("idiot")
-    assert moderation.words("123 👍 !!!") == []
+    assert words("v0ll1d10t !!! f.i.d.d.l.e sooooo Ünï") == ["vollidiot", "fiddle", "so", "uni"]
+    assert words("іdiоt") == words("idiot")
+    assert words("123 👍 !!!") == []
 
 
 def test_scores(spark):
@@ -46,3 +50,22 @@ def test_scores(spark):
     assert set(rates) == {"c0", "c1", "c2", "c3", "c4", None} and sum(r.messages for r in rates.values()) == 604
     assert moderation.found(moderation.scores(df, lab.limit(0))).count() == 0
     assert moderation.scores(df.limit(0), lab).count() == 0
+
+
+def test_short_replies_without_labels(spark):
+    """Replies that no label covers are not flagged: messages without a label are presumed harmless, few n-grams say little."""
+    rng = random.Random(5)
+    rows = [(f"m{k:03d}", message(rng, k % 4 == 0), None, "c") for k in range(400)]
+    replies = ["Yes, fine.", "No, sorry", "See you soon", "Thanks!", "Great", "Okay 👍"]
+    rows += [(f"r{k:03d}", replies[k % len(replies)], None, "c") for k in range(120)]
+    df = spark.createDataFrame(rows, "id string, text string, caption string, chat_id string")
+    labels = spark.createDataFrame([(f"m{k:03d}", int(k % 4 == 0)) for k in range(400)] + [("m000", 0), ("m000", 1)], "message_id string, abusive int")
+    got = {r.message_id: r.abusive for r in moderation.scores(df, labels).collect()}
+    assert not any(got[f"r{k:03d}"] for k in range(120))
+    assert np.mean([got[f"m{k:03d}"] == (k % 4 == 0) for k in range(400)]) > 0.97
+    assert not any(r.abusive for r in moderation.scores(df.where("id like 'r%'"), labels.limit(0)).collect())
+
+
+def test_short_sentences_join():
+    assert [len(s) for s in moderation.sentences("i. a. anna lund. we meet at noon today. ok.")] == [4, 6]
+    assert moderation.windows(0) == [] and moderation.windows(16) == [(0, 16)] and moderation.windows(21)[-1] == (9, 21)
