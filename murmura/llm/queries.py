@@ -45,6 +45,8 @@ QUERIES["p3_rates"] = lambda s, d: moderation.rates(_moderated(s, d))
 QUERIES["p4_found"] = lambda s, d: language.found(language.segments(table(s, d, "messages")))
 QUERIES["p4_labels"] = lambda s, d: language.label(language.segments(table(s, d, "messages")))
 QUERIES["p6_found"] = lambda s, d: near.NearDuplicates(near.message_contents(table(s, d, "messages"))).pairs()
+QUERIES["p6_links"] = lambda s, d: near.NearDuplicates(near.message_contents(table(s, d, "messages"))).named_links()
+QUERIES["p6_groups"] = lambda s, d: near.NearDuplicates(near.message_contents(table(s, d, "messages"))).groups()
 QUERIES["p6_classes"] = lambda s, d: near.NearDuplicates(near.message_contents(table(s, d, "messages"))).classes()
 QUERIES["p7_found"] = lambda s, d: personal.entities(table(s, d, "messages")).select("message_id", "source_field", "pii_type", "pii_key").distinct()
 QUERIES["p7_redacted"] = lambda s, d: personal.redacted(table(s, d, "messages"))
