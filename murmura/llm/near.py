@@ -221,6 +221,26 @@ def allocate(counts: np.ndarray, h: np.ndarray, anchor: np.ndarray, bounds: np.n
     if not len(h):
         return chosen
     need = n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9).astype(np.int64) + 1
+    # Bits that no other text has cost nothing: all are taken, and where they suffice nothing is left to allocate.
+    free = counts <= 1
+    need -= np.bincount(owner[free], minlength=texts)
+    some = need > 0
+    if not some.all() or free.any():
+        rest = np.flatnonzero(~free & some[owner])
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(owner[rest], minlength=texts)[some])])
+        chosen[free] = True
+        chosen[rest] = _allocated(counts[rest], h[rest], anchor[rest], bounds, need[some])
+        return chosen
+    return _allocated(counts, h, anchor, bounds, need)
+
+
+def _allocated(counts: np.ndarray, h: np.ndarray, anchor: np.ndarray, bounds: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """The dynamic program of ``allocate`` over bits that other texts have; ``need`` is positive."""
+    n = np.diff(bounds)
+    texts, owner = len(n), np.repeat(np.arange(len(n)), n)
+    chosen = np.zeros(len(h), dtype=bool)
+    if not len(h):
+        return chosen
     unit = -(-need // UNITS)
     slots = -(-need // unit)
     group = owner * PARTITIONS + (anchor % np.uint64(PARTITIONS)).astype(np.int64)
