@@ -2,9 +2,11 @@
 
 Only the histogram of lengths (at most ``capacity`` rows, whatever the corpus) reaches the driver. There the
 configuration linear program - as few containers as possible, each filled by a multiset of lengths, every item covered -
-is solved by multiplicative weights: a weight for each length prices a configuration by knapsack dynamic programming,
-the weights of what it covers shrink, and so on. The configurations' shares are rounded down to whole numbers and the
-items left are packed by descending length. Items find their container by their number among those of their length.
+is solved by multiplicative weights: a weight for each length prices a configuration by knapsack dynamic programming
+(no more items of a length than there are), the weights of what it covers shrink, and so on. The solution is rounded by
+diving: under the program's weights, which go on learning, the best configuration of the items left is priced and used
+a whole number of times - a share of what is left of its scarcest length, once at least - until ``DIVES`` are made. What then
+remains, if anything, is packed by descending length. Items find their container by their number among those of their length.
 
 Results: one row for each piece of each text. A text over the capacity is cut into full pieces and a rest; no other is
 cut. Texts without tokens take no room: one row with size 0 in container 0. ``container_id`` counts from 0 without gaps.
@@ -22,81 +24,88 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
-#: Counters of a length are kept in this many parts, so that no task sees all items of a frequent length.
-SALTS = 64
-ROUNDS = 400
-
-
-def price(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most worth that one container can hold, and how many items of each size it then holds."""
+#: Items of a length that one task numbers; more are numbered in parts.
+ROWS = 1_000_000
+ROUNDS, DIVES = 120, 12_000
+#: Lengths that one dive prices: those of which most is left, and the longest.
+FREQUENT, LONGEST = 96, 24
+
+
+def price(sizes: np.ndarray, worth: np.ndarray, capacity: int, most: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """The most worth that one container can hold, and how many items of each size (up to ``most``) it then holds."""
+    most = capacity // sizes if most is None else np.minimum(most, capacity // sizes)
+    # A bounded number of items is a choice among 1, 2, 4, ... of them.
+    items: list[tuple[int, int]] = []
+    for j, n in enumerate(most.tolist()):
+        k = 1
+        while n > 0:
+            items.append((j, min(k, n)))
+            n -= k
+            k *= 2
     best = np.zeros(capacity + 1)
-    taken = np.full(capacity + 1, -1, dtype=np.int64)
-    order = np.argsort(sizes, kind="stable")
-    s, w = sizes[order], worth[order]
-    fits = np.searchsorted(s, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c], taken[c] = best[c - 1], -1
-        if k := fits[c]:
-            value = best[c - s[:k]] + w[:k]
-            j = int(value.argmax())
-            if value[j] > best[c] + 1e-15:
-                best[c], taken[c] = value[j], j
+    took = np.zeros((len(items), capacity + 1), dtype=bool)
+    size, value = sizes.tolist(), worth.tolist()
+    for i, (j, k) in enumerate(items):
+        s = size[j] * k
+        offer = best[:-s] + value[j] * k
+        np.greater(offer, best[s:] + 1e-12, out=took[i, s:])
+        np.maximum(best[s:], offer, out=best[s:])
     counts = np.zeros(len(sizes), dtype=np.int64)
     c = capacity
-    while c > 0:
-        if (j := int(taken[c])) < 0:
-            c -= 1
-        else:
-            counts[order[j]] += 1
-            c -= int(s[j])
+    for i in range(len(items) - 1, -1, -1):
+        if took[i, c]:
+            j, k = items[i]
+            counts[j] += k
+            c -= size[j] * k
     return float(best[capacity]), counts
 
 
-def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = 0.5) -> tuple[np.ndarray, np.ndarray, float]:
-    """Configurations, their fractional numbers covering ``demand``, and a lower bound of the program's value."""
+def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = 0.5) -> tuple[np.ndarray, float]:
+    """The program's weights (the worth of an item of each size) and a lower bound of its value."""
     weight = sizes / capacity
-    covered = np.zeros(len(sizes))
-    bound, found, amounts = float(demand @ sizes) / capacity, [], []
+    bound = float(demand @ sizes) / capacity
     for _ in range(rounds):
         worth, counts = price(sizes, weight, capacity)
         # Weights over the best configuration's worth satisfy the dual program.
         bound = max(bound, float(demand @ weight) / worth)
         share = float((demand[counts > 0] / counts[counts > 0]).min())
-        found.append(counts)
-        amounts.append(share)
-        covered += counts * share
         weight = weight * np.exp(-step * counts * share / demand)
-        if covered.min() > 0 and (covered / demand).min() >= 1 and len(found) > rounds // 4:
-            break
-    return np.array(found), np.array(amounts), bound
+        weight /= (weight * demand).sum() / (sizes * demand).sum() * capacity
+    return weight, bound
 
 
-def plan(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[int, dict[int, int]]], float]:
-    """((number of containers, {size: items in each}), ...) that hold ``demand`` exactly, and a lower bound of the number of containers."""
+def plan(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, dives: int = DIVES) -> tuple[list[tuple[int, dict[int, int]]], float, int]:
+    """((number of containers, {size: items in each}), ...) that hold ``demand`` exactly, a lower bound of the number of
+    containers, and how many of them the program gave."""
     sizes, demand = np.asarray(sizes, dtype=np.int64), np.asarray(demand, dtype=np.int64)
     if not len(sizes):
-        return [], 0.0
-    found, amounts, bound = relaxed(sizes, demand.astype(float), capacity, rounds)
-    # Greedy scaling: a configuration gets its share of what the run gave to each size it holds, as far as demand lasts.
+        return [], 0.0, 0
+    weight, bound = relaxed(sizes, demand.astype(float), capacity, rounds)
     left = demand.copy()
-    total = (found * amounts[:, None]).sum(0)
-    scale = 1 / np.maximum(1, total / demand)
     out: list[tuple[int, dict[int, int]]] = []
 
     def use(counts: np.ndarray, times: int) -> None:
         nonlocal left
-        if times > 0:
-            left = left - counts * times
-            out.append((times, {int(s): int(c) for s, c in zip(sizes[counts > 0], counts[counts > 0], strict=True)}))
-
-    fill = found @ sizes
-    for p in np.argsort(-fill, kind="stable").tolist():
-        counts = found[p]
-        held = counts > 0
-        if fill[p] < 0.995 * capacity:
-            continue
-        times = int(min(amounts[p] * scale[held].min(), (left[held] // counts[held]).min()))
-        use(counts, times)
+        left = left - counts * times
+        out.append((times, {int(s): int(c) for s, c in zip(sizes[counts > 0], counts[counts > 0], strict=True)}))
+
+    # Full containers are worth much the same; of them, those of long items come first: short ones fill what they leave.
+    tilt = 1 + 0.3 * (sizes / capacity) ** 2
+    for _ in range(dives):
+        at = np.flatnonzero(left)
+        if not len(at):
+            break
+        if len(at) > FREQUENT + LONGEST:
+            most = at[np.argpartition(-left[at] * sizes[at], FREQUENT)[:FREQUENT]]
+            at = np.union1d(most, at[-LONGEST:])
+        _, held = price(sizes[at], (weight * tilt)[at], capacity, left[at])
+        counts = np.zeros(len(sizes), dtype=np.int64)
+        counts[at] = held
+        some = counts > 0
+        share = int((left[some] // counts[some]).min())
+        use(counts, max(1, share - share // 4))
+        weight[some] *= np.exp(-0.02 * counts[some] / np.maximum(1, demand[some]))
+    planned = sum(times for times, _ in out)
     # What is left: the longest item first, then the longest that still fits, in bulk.
     order = np.argsort(-sizes, kind="stable")
     while left.any():
@@ -109,7 +118,7 @@ def plan(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, rounds
                     break
         held = counts > 0
         use(counts, int((left[held] // counts[held]).min()))
-    return out, bound
+    return out, bound, planned
 
 
 def _assign(batches: Iterator[pa.RecordBatch], slots: dict) -> Iterator[pa.RecordBatch]:
@@ -140,29 +149,31 @@ def slots(planned: list[tuple[int, dict[int, int]]]) -> dict[int, tuple[np.ndarr
     return {s: tuple(np.array(x, dtype=np.int64) for x in v) for s, v in lists.items()}
 
 
-def fill(sizes: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, rounds: int = ROUNDS) -> DataFrame:
+def fill(sizes: DataFrame, capacity: int = CAPACITY, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, piece_no, size, container_id) of (doc_id, n_tokens)."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
+    spark = sizes.sparkSession
     pieces = F.greatest(F.ceil(F.col("n_tokens") / capacity).cast("int"), F.lit(1))
     items = (
         sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
         .select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece_no"))
         .select("doc_id", "piece_no", F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece_no") * capacity).cast("int").alias("size"))
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(salts)).cast("int"))
     )
-    # At most (capacity + 1) * salts rows, whatever the corpus.
-    counted = sorted(tuple(r) for r in items.groupBy("size", "salt").count().collect())
+    # At most capacity + 1 rows, whatever the corpus; of a frequent length one more for each ``rows`` items.
+    counted = {r["size"]: r["count"] for r in items.groupBy("size").count().collect()}
+    parts = spark.createDataFrame([(s, -(-n // rows)) for s, n in counted.items()], "size int, parts int")
+    salted = items.join(F.broadcast(parts), "size").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.col("parts")).cast("int")).drop("parts")
     before: dict[int, int] = {}
     offsets = []
-    for s, salt, n in counted:
+    for s, salt, n in sorted(tuple(r) for r in salted.groupBy("size", "salt").count().collect()) if max(counted.values(), default=0) > rows else [(s, 0, n) for s, n in counted.items()]:
         offsets.append((s, salt, before.get(s, 0)))
         before[s] = before.get(s, 0) + n
     held = sorted(s for s in before if s > 0)
-    planned, _ = plan(np.array(held), np.array([before[s] for s in held]), capacity, rounds)
-    offset = sizes.sparkSession.createDataFrame(offsets, "size int, salt int, offset bigint")
+    planned, _, _ = plan(np.array(held), np.array([before[s] for s in held]), capacity, rounds)
+    offset = spark.createDataFrame(offsets, "size int, salt int, offset bigint")
     numbered = (
-        items.join(F.broadcast(offset), ["size", "salt"])
+        salted.join(F.broadcast(offset), ["size", "salt"])
         .withColumn("number", F.row_number().over(W.partitionBy("size", "salt").orderBy("doc_id", "piece_no")) - 1 + F.col("offset"))
         .select("doc_id", "piece_no", "size", "number")
     )
