@@ -38,8 +38,8 @@ SAMPLE, WINDOW = 400, 96
 WIDTHS, FILTERS, EMBEDDED = (2, 3, 4, 5), 16, 8
 ROUNDS = 6
 LEAST_LETTERS = 30
-#: Longer labelled messages are not fitted to; the network is applied to them all the same.
-LONGEST_LABELLED = 20_000
+#: Of a labelled message, so many windows spread over the whole of it are fitted to at most, so that none outweighs the others.
+WINDOWS_EACH = 64
 SWITCH_BETWEEN, SWITCH_WITHIN = 2.5, 6.0
 
 
@@ -143,10 +143,15 @@ def lay_out(texts: list[str]) -> tuple[np.ndarray, list[tuple[int, int, int, boo
                 continue
             # Equal parts, cut between characters: in characters, as lower-casing may change lengths the end is bounded.
             chars = len(sentence)
-            n = max(n, -(-max(len(sentence[i * chars // n : (i + 1) * chars // n].encode("utf-8", "replace")) for i in range(n)) * n // WINDOW))
+            while True:
+                parts = [sentence[i * chars // n : (i + 1) * chars // n].encode("utf-8", "replace") for i in range(n)]
+                longest = max(map(len, parts))
+                if longest <= WINDOW:
+                    break
+                n = max(n + 1, n * longest // WINDOW)
             for i in range(n):
                 lo, hi = i * chars // n, (i + 1) * chars // n
-                rows.append(sentence[lo:hi].encode("utf-8", "replace")[:WINDOW])
+                rows.append(parts[i])
                 places.append((k, min(b, a + lo), b if i == n - 1 else min(b, a + hi), i == 0))
     x = np.zeros((len(rows), WINDOW), dtype=np.uint8)
     if rows:
@@ -158,8 +163,10 @@ def lay_out(texts: list[str]) -> tuple[np.ndarray, list[tuple[int, int, int, boo
 
 
 def letters(x: np.ndarray) -> np.ndarray:
-    """Letters of each window: basic ones, and two-byte ones by their first byte."""
-    return (((x >= 97) & (x <= 122)) | ((x >= 0xC3) & (x <= 0xDF))).sum(1)
+    """Letters of each window: basic ones, and those of two and three bytes by their first (not the blocks of signs from U+2000 and U+3000)."""
+    long = (x >= 0xE0) & (x <= 0xEF) & (x != 0xE2)
+    long[:, :-1] &= (x[:, :-1] != 0xE3) | (x[:, 1:] != 0x80)
+    return (((x >= 97) & (x <= 122)) | ((x >= 0xC3) & (x <= 0xDF)) | long).sum(1)
 
 
 def best_paths(scores: np.ndarray, owner: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -200,6 +207,9 @@ def train(labelled: list[tuple[str, str]], languages=LANGUAGES) -> Network:
     if len(x):
         y = np.array([number[labelled[p[0]][0]] for p in places])
         enough = letters(x) >= 12
+        first = np.searchsorted(owner := np.array([p[0] for p in places]), owner)
+        n, k = np.bincount(owner)[owner], np.arange(len(owner)) - first
+        enough &= (k * WINDOWS_EACH // n != (k - 1) * WINDOWS_EACH // n) | (n <= WINDOWS_EACH)
         if enough.any():
             net.fit(x[enough], y[enough])
     return net
@@ -251,7 +261,7 @@ def segments(messages: DataFrame, languages=LANGUAGES, sample: int = SAMPLE, key
     share = F.lit(0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("label") == lang, F.lit(int(min(1.0, sample / n) * (1 << 20)))).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64("message_id"), F.lit(1 << 20)) < share).where(F.length("text") <= LONGEST_LABELLED).select("label", "text", "message_id")
+    drawn = rows.where(F.pmod(F.xxhash64("message_id"), F.lit(1 << 20)) < share).select("label", "text", "message_id")
     net = train([(r["label"], r["text"]) for r in drawn.orderBy("message_id", "text").collect()], languages)
     shared = spark.sparkContext.broadcast(net)
     kind = dict(rows.dtypes)["message_id"]

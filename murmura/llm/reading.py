@@ -3,7 +3,7 @@
 The running text of a document - without links, handles, log lines, figures and runs of one sign - is cut into
 sentences, and what has no punctuation into windows of words. Every sentence gets a distribution over the levels from a
 regularised softmax on hashed words and character n-grams and on word lengths (which languages share), trained with
-numpy on the sentences of labelled documents (at most ``SAMPLE`` label rows, picked by a hash; labels err, so documents
+numpy on the sentences of labelled documents (at most ``SAMPLE`` label rows, picked by a hash, the documents whole; labels err, so documents
 that a model fitted without them contradicts are left out). A document's distribution is the softmax of the mean log
 distribution of its sentences, weighted by their words and sharpened by a factor fitted to held-out labels.
 
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from murmura.llm.sentences import plain, spans
 
 LEVELS, LEAST_WORDS, SAMPLE = 3, 40, 4_000
-#: Longer labelled documents are not fitted to; the model is applied to them all the same.
-LONGEST_LABELLED = 50_000
+#: Of a labelled document, WINDOWS_EACH windows spread over the whole of it are fitted to, so that none outweighs the others.
 BUCKETS, WINDOW, WINDOWS_EACH = 1 << 16, 24, 6
+FOLDS, BATCH = 2, 64
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _LOG = re.compile(r"^\s*[\[(]?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|^\s*[{\[]\s*\"|^\s*(?:INFO|WARN|ERROR|DEBUG)\b")
 
@@ -39,8 +39,8 @@ def running(text: str) -> str:
     text = plain(text)
     for a, b in spans(text):
         part = text[a:b]
-        letters = sum(len(w) for w in _WORD.findall(part))
-        if letters and not _LOG.search(part) and letters >= 0.5 * sum(not c.isspace() for c in part):
+        letters = sum(map(len, _WORD.findall(part)))
+        if letters and letters >= 0.5 * sum(map(len, part.split())) and not _LOG.search(part):
             kept.append(part)
     return "\n".join(kept)
 
@@ -100,7 +100,8 @@ class Model:
                 if g is None:
                     g = known[x] = np.array(_grams(x), dtype=np.int64)
                 parts.append(g)
-            bags.append((np.concatenate(parts), np.concatenate([np.full(len(p), 1 / len(p) / len(parts)) for p in parts])))
+            n = np.array([len(p) for p in parts])
+            bags.append((np.concatenate(parts), np.repeat(1 / n / len(n), n).astype(np.float32)))
         lengths = np.array([len(x) for w in found for x in w])
         start = np.concatenate([[0], np.cumsum([len(w) for w in found])[:-1]]).astype(np.int64)
         dense = _lengths(lengths, start)
@@ -108,25 +109,24 @@ class Model:
         weight = np.bincount(y, minlength=LEVELS).astype(float)
         weight = np.where(weight > 0, len(y) / np.maximum(weight, 1) / (weight > 0).sum(), 0)
         gt, gd = np.full(BUCKETS, 1e-8, dtype=np.float32), np.full_like(self.d, 1e-4)
+        order, parts = rng.permutation(len(bags)), []
+        for a in range(0, len(order), BATCH):
+            at = order[a : a + BATCH]
+            n = np.array([len(bags[i][0]) for i in at])
+            ids, inverse = np.unique(np.concatenate([bags[i][0] for i in at]), return_inverse=True)
+            parts.append((at, ids, inverse, np.concatenate([bags[i][1] for i in at]), np.repeat(np.arange(len(at)), n), np.concatenate([[0], np.cumsum(n)[:-1]])))
         for r in range(rounds):
             step = rate / (1 + r / 2)
-            order = rng.permutation(len(bags))
-            for a in range(0, len(order), 64):
-                at = order[a : a + 64]
-                flat = np.concatenate([bags[i][0] for i in at])
-                share = np.concatenate([bags[i][1] for i in at])
-                n = np.array([len(bags[i][0]) for i in at])
-                begin = np.concatenate([[0], np.cumsum(n)[:-1]])
-                mean = np.add.reduceat(self.t[flat] * share[:, None], begin, axis=0)
+            for k in rng.permutation(len(parts)).tolist():
+                at, ids, inverse, share, owner, begin = parts[k]
+                mean = np.add.reduceat(self.t[ids][inverse] * share[:, None], begin, axis=0)
                 q = np.exp(self._logs(mean, dense[at]))
                 q[np.arange(len(at)), y[at]] -= 1
                 q *= weight[y[at]][:, None] / len(at)
                 g = full[at].T @ q + decay * self.d
                 gd += g**2
                 self.d -= step * g / np.sqrt(gd)
-                ids, inverse = np.unique(flat, return_inverse=True)
-                rows = np.repeat(q, n, axis=0) * share[:, None]
-                g = np.stack([np.bincount(inverse, rows[:, c], len(ids)) for c in range(LEVELS)], 1) + decay * 0.1 * self.t[ids]
+                g = np.stack([np.bincount(inverse, q[owner, c] * share, len(ids)) for c in range(LEVELS)], 1) + decay * 0.1 * self.t[ids]
                 gt[ids] += (g**2).sum(1)
                 self.t[ids] -= (step * g / np.sqrt(gt[ids])[:, None]).astype(np.float32)
         return self
@@ -187,20 +187,19 @@ def train(labelled: list[tuple[str, int]]) -> Model:
     if len(y) < 12:
         return fitted(every)
     keep, best = np.ones(len(y), dtype=bool), 1.0
-    fold = np.random.default_rng(4).permutation(len(y)) % 3
-    for _ in range(2):
-        held = np.zeros((len(y), LEVELS))
-        for f in range(3):
-            m = fitted(every[(fold != f) & keep])
-            held[fold == f] = m.documents([_spread(texts[k]) for k in every[fold == f]])
-        keep = held[every, y] > held.max(1) - 2.0
-        scale = [0.5, 1.0, 2.0, 3.0, 4.0, 6.0, 8.0]
-        fit = []
-        for s in scale:
-            z = held * s
-            z -= np.log(np.exp(z - z.max(1, keepdims=True)).sum(1, keepdims=True)) + z.max(1, keepdims=True)
-            fit.append(np.maximum(z[every, y], -6).mean())
-        best = scale[int(np.argmax(fit))]
+    fold = np.random.default_rng(4).permutation(len(y)) % FOLDS
+    held = np.zeros((len(y), LEVELS))
+    for f in range(FOLDS):
+        m = fitted(every[fold != f])
+        held[fold == f] = m.documents([_spread(texts[k]) for k in every[fold == f]])
+    keep = held[every, y] > held.max(1) - 2.0
+    scale = [0.5, 1.0, 2.0, 3.0, 4.0, 6.0, 8.0]
+    fit = []
+    for s in scale:
+        z = held * s
+        z -= np.log(np.exp(z - z.max(1, keepdims=True)).sum(1, keepdims=True)) + z.max(1, keepdims=True)
+        fit.append(np.maximum(z[every, y], -6).mean())
+    best = scale[int(np.argmax(fit))]
     model = fitted(every[keep] if keep.any() else every)
     model.factor = best
     return model
@@ -228,7 +227,7 @@ def levels(documents: DataFrame, labels: DataFrame, least: int = LEAST_WORDS, sa
     share = int(min(1.0, sample / max(1, labels.count())) * (1 << 20))
     drawn = labels.where(F.col("reading_level").between(1, LEVELS) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share))
     voted = drawn.groupBy("doc_id").agg(F.expr("cast(percentile_approx(reading_level, 0.5) as int)").alias("y"))
-    picked = rows.join(F.broadcast(voted), "doc_id").where(F.length("text") <= LONGEST_LABELLED).orderBy("doc_id").collect()
+    picked = rows.join(F.broadcast(voted), "doc_id").where("text is not null").orderBy("doc_id").collect()
     model = spark.sparkContext.broadcast(train([(r["text"], r["y"]) for r in picked]))
     found = rows.mapInArrow(partial(_leveled, model=model, least=least), SCHEMA)
     level = F.when(F.col("p1").isNotNull(), F.when((F.col("p1") >= F.col("p2")) & (F.col("p1") >= F.col("p3")), 1).when(F.col("p2") >= F.col("p3"), 2).otherwise(3))

@@ -57,3 +57,14 @@ def test_labels(spark):
     found = [tuple(r) for r in language.found(seg).collect()]
     assert ("mix", "ru") in found and ("none", "nl") in found and len(found) == len(set(found))
     assert language.segments(df.limit(0)).count() == 0
+
+
+def test_windows_keep_every_byte():
+    """Sentences of mixed scripts, whose bytes are unevenly spread, and signs of three and four bytes."""
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice(("abc ", "яжд ", "漢字", "😀", "é")) for _ in range(rng.randint(1, 200))).strip()
+        x, places = language.lay_out([text])
+        raw = b"".join(r[r != 0].tobytes() for r in x)
+        assert raw == "".join(text[a:b] for _, a, b, _ in places).lower().encode()
+    assert language.letters(language.lay_out(["漢字かな、。“” abc é я"])[0]).tolist() == [9]
