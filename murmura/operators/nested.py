@@ -5,17 +5,22 @@ sums, which bytes lie inside strings and how deep each bracket is. Every contain
 its place in a list by binary searches over the bracket positions of one depth; no recursive parse is made.
 
 Results (one row for each object that is an attachment or an element of one of the lists ``items``,
-``storage_refs``, ``variants``, ``transcription.segments`` and ``words``):
+``storage_refs``, ``variants``, ``transcription.segments`` and ``words``; and one of kind ``other`` for each non-null element of
+any other list below an attachment, and for each element of those that is no object, so that nothing is lost):
 
 * a null, empty or unreadable payload gives no row; an attachment that is null, a list or a number gives none;
 * an attachment delivered as a JSON string counts as its object; an object in place of a list is its element 0;
 * nulls in a list are no rows, but count in the places of those after them; an empty object is a row;
-* of a key that occurs twice in one object the last value holds.
+* of a key that occurs twice in one object the last value holds;
+* objects below a row's object that are no list's element are fields of it by their path (``checks.md5``), however deep;
+* an element that is no object has its text as the field ``value``; a list within a list is a list of its element;
+* payloads may be nested to any depth: nothing here is recursive.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +49,8 @@ _ARROW = pa.schema(
     ]
 )
 _BATCH_BYTES = 8 << 20
+#: What a JSON text may hold besides brackets, and what may follow what (see ``_valid``).
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity))')
 
 
 class StructuralIndex:
@@ -71,6 +78,7 @@ class StructuralIndex:
         depth = np.cumsum(is_open.astype(np.int32) - is_close.astype(np.int32))
         #: Depth of the container a token stands in (for a bracket: that it belongs to itself).
         level = np.where(is_close, depth + 1, depth)
+        self.token_level = level
         self.start = self.token[is_open]
         self.is_list = what[is_open] == 91
         self.level = level[is_open]
@@ -79,17 +87,22 @@ class StructuralIndex:
         self.parent = np.full(k, -1, dtype=np.int64)
         self.place = np.zeros(k, dtype=np.int64)
         colon = (what == 58) & ~is_open
-        self.member_of: np.ndarray = np.empty(0, dtype=np.int64)
+        self.end, self.commas = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64)
         members, owners = [], []
-        for d in range(1, int(self.level.max(initial=0)) + 1):
-            own = np.flatnonzero(self.level == d)
-            tokens = np.flatnonzero(level == d)
-            tokens_at = self.token[tokens]
-            comma_at = tokens_at[what[tokens] == 44]
+        # Tokens and containers by depth: each depth is looked at once, however many there are.
+        deepest = int(self.level.max(initial=0))
+        by_level, containers = np.argsort(level, kind="stable"), np.argsort(self.level, kind="stable")
+        token_from = np.searchsorted(level[by_level], np.arange(deepest + 2))
+        from_ = np.searchsorted(self.level[containers], np.arange(deepest + 3))
+        for d in range(1, deepest + 1):
+            own, below = containers[from_[d] : from_[d + 1]], containers[from_[d + 1] : from_[d + 2]]
+            tokens = by_level[token_from[d] : token_from[d + 1]]
+            self.end[own] = self.token[tokens[is_close[tokens]]]
+            comma_at = self.token[tokens[what[tokens] == 44]]
+            self.commas[own] = np.bincount(np.searchsorted(self.start[own], comma_at) - 1, minlength=len(own))
             colons = tokens[colon[tokens]]
             members.append(colons)
             owners.append(own[np.searchsorted(self.start[own], self.token[colons]) - 1])
-            below = np.flatnonzero(self.level == d + 1)
             if len(below):
                 up = own[np.searchsorted(self.start[own], self.start[below]) - 1]
                 self.parent[below] = up
@@ -138,6 +151,19 @@ class StructuralIndex:
             return json.loads(text) if b"\\" in text else text[1:-1].decode()
         return None if text == b"null" else text.decode()
 
+    def scalars(self, node: int) -> list[tuple[int, str]]:
+        """(place, text) of the elements of a list that are neither containers nor null."""
+        if not self.is_list[node] or self.commas[node] + 1 == self._below_to[node] - self._below_from[node]:
+            return []
+        a, b = np.searchsorted(self.token, (self.start[node], self.end[node]))
+        own = a + np.flatnonzero(self.token_level[a : b + 1] == self.level[node])
+        out = []
+        for i, (x, y) in enumerate(zip(self.token[own[:-1]].tolist(), self.token[own[1:]].tolist(), strict=True)):
+            text = self.raw[x + 1 : y].strip()
+            if text and text != b"null" and text[:1] not in (b"{", b"["):
+                out.append((i, json.loads(text) if text[:1] == b'"' else text.decode()))
+        return out
+
     def elements(self, node: int) -> list[tuple[int, int]]:
         """(place, container) of the containers of a list; an object counts as a list of itself."""
         if not self.is_list[node]:
@@ -146,14 +172,43 @@ class StructuralIndex:
         return list(zip(self.place[below].tolist(), below.tolist(), strict=True))
 
 
-def readable(text: str | bytes | None) -> bool:
+def _valid(text: str) -> bool:
+    """Whether a text is JSON, by a stack of its own: for texts too deeply nested for the library's parser."""
+    stack: list[str] = []
+    state, at = "value", 0  # value, first (value or end of a list), key, first key (or end of an object), colon, after
+    while m := _TOKEN.match(text, at):
+        at = m.end()
+        sign, string = m[1], m[2]
+        if state in ("value", "first") and (sign in ("[", "{") or sign is None):
+            if sign is None:
+                state = "after"
+            else:
+                stack.append("]" if sign == "[" else "}")
+                state = "first" if sign == "[" else "first key"
+        elif state in ("key", "first key") and string is not None:
+            state = "colon"
+        elif state == "colon" and sign == ":":
+            state = "value"
+        elif state == "after" and sign == "," and stack:
+            state = "value" if stack[-1] == "]" else "key"
+        elif sign in ("]", "}") and state in ("after", "first" if sign == "]" else "first key") and stack and stack[-1] == sign:
+            stack.pop()
+            state = "after"
+        else:
+            return False
+    return state == "after" and not stack and not text[at:].strip(" \t\n\r")
+
+
+def readable(text: str | None) -> bool:
     """Whether a payload is JSON as a whole: the exact check of what the index may be built over."""
     if not text:
         return False
     try:
         json.loads(text)
         return True
-    except (ValueError, RecursionError):
+    except RecursionError:
+        return _valid(text)
+    except ValueError:
         return False
 
 
@@ -195,33 +250,48 @@ def _walk(index: StructuralIndex, record: int, kind: str, node: int, path: str,
     stack = [(kind, node, path, parent, place)]
     while stack:
         kind, node, path, parent, place = stack.pop()
-        members = index.members(node)
         fields: dict[str, str] = {}
-        flat = [("", members)]
-        for prefix, found in flat:
-            for key, m in found.items():
-                below = int(index.value_node[m])
-                if below < 0:
-                    value = index.scalar(m)
-                    if value is not None:
+        lists: list[tuple[str, str, int]] = []  # kind of the elements, path, container
+        if index.is_list[node]:
+            lists.append(("other", path, node))
+        else:
+            named = CHILDREN.get(kind, ())
+            #: Objects of this row: (container, its place in this list's parent, its key); a path is joined only where something has it.
+            inside: list[tuple[int, int, str]] = [(node, -1, "")]
+            for at, (container, _, _) in enumerate(inside):
+                prefix: str | None = None
+                for key, m in index.members(container).items():
+                    below = int(index.value_node[m])
+                    if below >= 0 and at == 0 and key in named:
+                        lists.append((LISTS[key], f"{path}.{key}", below))
+                        continue
+                    if below >= 0 and at and kind == "attachment" and key in CHILDREN["transcription"] and inside[at][1:] == (0, "transcription"):
+                        lists.append((LISTS[key], f"{path}.transcription.{key}", below))
+                        continue
+                    if below >= 0 and not index.is_list[below]:
+                        inside.append((below, at, key))
+                        continue
+                    if prefix is None:
+                        prefix = _prefix(inside, at)
+                    if below >= 0:
+                        lists.append(("other", f"{path}.{prefix}{key}", below))
+                    elif (value := index.scalar(m)) is not None:
                         fields[prefix + key] = value
-                elif not index.is_list[below] and key not in LISTS and len(prefix) < 200:
-                    flat.append((f"{prefix}{key}.", index.members(below)))
         rows.append((record, kind, path, parent, place, list(fields.items())))
-        lists = [(name, f"{path}.{name}", members.get(name)) for name in CHILDREN.get(kind, ())]
-        if kind == "attachment" and (m := members.get("transcription")) is not None:
-            below = int(index.value_node[m])
-            if below >= 0 and not index.is_list[below]:
-                lists += [(name, f"{path}.transcription.{name}", index.members(below).get(name)) for name in CHILDREN["transcription"]]
-        for name, where, m in lists:
-            if m is None:
-                continue
-            held = int(index.value_node[m])
-            if held < 0:
-                continue
+        for what, where, held in lists:
+            for i, text in index.scalars(held):
+                rows.append((record, "other", f"{where}[{i}]", path, i, [("value", text)]))
             for i, child in index.elements(held):
-                if not index.is_list[child]:
-                    stack.append((LISTS[name], child, f"{where}[{i}]", path, i))
+                stack.append(("other" if index.is_list[child] else what, child, f"{where}[{i}]", path, i))
+
+
+def _prefix(inside: list[tuple[int, int, str]], at: int) -> str:
+    keys = []
+    while at:
+        _, up, key = inside[at]
+        keys.append(key)
+        at = up
+    return "".join(f"{k}." for k in reversed(keys))
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,6 +360,11 @@ def words(all_nodes: DataFrame) -> DataFrame:
     return _table(all_nodes, "word", w=_field("w"), p=_field("p").try_cast("double"))
 
 
+def others(all_nodes: DataFrame) -> DataFrame:
+    """One row for each element of any other list: its text, or null and its fields where it is an object."""
+    return _table(all_nodes, "other", value=_field("value"), fields=F.col("fields"))
+
+
 def message_refs(messages: DataFrame) -> DataFrame:
     """Refs of the attachment column of messages, one row for each non-null ref of a message, with its place."""
     return (

@@ -27,7 +27,8 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.nodes(table(spark, sf_dir, "attachment_records"))
 
 
-QUERIES["p5_found"] = lambda s, d: _nodes(s, d).select("record_id", "node_path")
+QUERIES["p5_found"] = lambda s, d: _nodes(s, d).where("kind <> 'other'").select("record_id", "node_path")
+QUERIES["p5_others"] = lambda s, d: nested.others(_nodes(s, d)).withColumn("fields", F.to_json("fields"))
 QUERIES["p5_attachments"] = lambda s, d: nested.attachments(_nodes(s, d))
 QUERIES["p5_storage_refs"] = lambda s, d: nested.storage_refs(_nodes(s, d))
 QUERIES["p5_variants"] = lambda s, d: nested.variants(_nodes(s, d))
