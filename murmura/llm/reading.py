@@ -27,7 +27,7 @@ from murmura.llm.sentences import plain, spans
 
 LEVELS, LEAST_WORDS, SAMPLE = 3, 40, 4_000
 #: Of a labelled document, WINDOWS_EACH windows spread over the whole of it are fitted to, so that none outweighs the others.
-BUCKETS, WINDOW, WINDOWS_EACH = 1 << 16, 24, 6
+BUCKETS, WINDOW, WINDOWS_EACH = 1 << 16, 24, 4
 FOLDS, BATCH = 2, 64
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _LOG = re.compile(r"^\s*[\[(]?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|^\s*[{\[]\s*\"|^\s*(?:INFO|WARN|ERROR|DEBUG)\b")
