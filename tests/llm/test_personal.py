@@ -11,7 +11,7 @@ def test_examples_are_learned():
     for line in personal.EXAMPLES:
         text, gold = personal.read_example(line)
         wrong += set(personal.find(text, weights)) != gold
-    assert wrong <= 2
+    assert wrong <= 0.1 * len(personal.EXAMPLES)
 
 
 def test_unseen_sentences():
@@ -28,6 +28,47 @@ def test_unseen_sentences():
         assert set(personal.find(text, weights)) == gold, (line, [(text[a:b], k) for a, b, k in personal.find(text, weights)])
 
 
+#: Sentences, names and streets that neither the examples nor any list holds.
+HELD_OUT = {
+    "de": (
+        ["Gestern war {name} bei uns zum Essen.", "Das Fahrrad gehört {name}.", "Wir haben {name} am Bahnhof gesehen.", "Den Kuchen hat {name} gebacken, danke dafür!", "Bitte bei {name} melden, Handy 0151 7654321.", "Mit freundlichem Gruß, {name}", "Ist das von {name}?", "Die Praxis liegt {address}.", "Neues Büro: {address}.", "Wir feiern {address}, ab acht."],
+        ["Torsten Lemwick", "Mehmet Yildiz", "Holger Brandt", "Silke Sommer", "Friedhelm Ostendorf", "Ayse Demir", "Kevin Raschke"],
+        ["Am Markt 4, 12345 Altstadt", "Unter den Eichen 12, 10117 Altstadt", "Hinterm Deich 7", "Sonnenhof 21b", "Zum Brunnen 3"],
+    ),
+    "en": (
+        ["Yesterday {name} came to see us.", "We had lunch with {name} in the park.", "The bike belongs to {name}.", "Has {name} paid yet?", "Please see {name}, mobile 01632 960 777.", "Regards, {name}", "The office is at {address}.", "Party at {address}, from eight."],
+        ["Nigel Farrow", "Deborah Quince", "Kwame Mensah", "Graham Tuttle", "Priya Nair", "Derek Blythe"],
+        ["221 Weaver Crescent", "14 Tanner Row", "9a Mulberry Walk, Northby", "77 Kingfisher Drive"],
+    ),
+    "es": (["La reunión es con {name}, móvil 900 11 22 33.", "Ayer vimos a {name} en el parque.", "La bici es de {name}."], ["Ignacio Robledo", "Beatriz Montalvo", "Gonzalo Pardo"], []),
+    "ru": (["Приехал {name} с семьёй.", "Велосипед купил {name}.", "Мы видели, как {name} пел."], ["Тимур Ахметов", "Вадим Рогов", "Лариса Кимова"], []),
+}
+
+
+def test_held_out_sentences():
+    """At least nine in ten of names and streets that no list knows, and of what is found."""
+    weights = personal.fitted()
+    hit = found = true = n = 0
+    for carriers, names, streets in HELD_OUT.values():
+        for carrier in carriers:
+            for kind, fillers in (("name", names), ("address", streets)):
+                if f"{{{kind}}}" not in carrier:
+                    continue
+                for f in fillers:
+                    assert f.split()[0].lower() not in personal.GIVEN_NAMES
+                    text, gold = personal.read_example(carrier.replace(f"{{{kind}}}", f"{{{kind}|{f}}}"))
+                    got = {s for s in personal.find(text, weights) if s[2] in ("name", "address")}
+                    n, hit, found, true = n + 1, hit + len(got & gold), found + len(got), true + len(gold)
+    print(n, "sentences: precision", hit / found, "recall", hit / true)
+    assert n > 100 and hit / found >= 0.9 and hit / true >= 0.85
+
+
+def test_things_and_places_are_no_names():
+    weights = personal.fitted()
+    for text in ("Die Firma Metallix und der Verein Nordhang bauen im Ort Seedorf.", "Wir wohnen in Bad Seedorf.", "The Village Hall in Great Norton is closed.", "Der Landkreis prüft Antrag Nummer 12."):
+        assert [s for s in personal.find(text, weights) if s[2] == "name"] == [], text
+
+
 def test_sums_and_best_path_against_all_sets():
     rng = random.Random(5)
     for _ in range(30):
