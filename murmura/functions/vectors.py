@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,21 +27,3 @@ def l2_normalized(v: Column) -> Column:
     """A vector over its norm; null for a zero vector."""
     n = norm(doubles(v))
     return F.when(n > 0, F.transform(doubles(v), lambda x: x / n))
-
-
-def query_vector(values: Sequence[float]) -> Column:
-    return F.lit([float(x) for x in values]).cast("array<double>")
-
-
-def cosine(v: Column, query: Sequence[float]) -> Column:
-    """Cosine of a vector column and one query vector, whose norm is computed once."""
-    size = sum(float(x) ** 2 for x in query) ** 0.5
-    if size == 0:
-        raise ValueError("the query vector is zero")
-    d = doubles(v)
-    return dot(d, query_vector(query)) / (norm(d) * F.lit(size))
-
-
-def score(v: Column, query: Sequence[float]) -> Column:
-    """Cosine as a score from 0 to 1."""
-    return (F.lit(1.0) + cosine(v, query)) / F.lit(2.0)

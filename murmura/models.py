@@ -72,6 +72,8 @@ def hashed_vector(text: str, dim: int) -> np.ndarray:
 
 register("classifier", "standin", _standin_classifier)
 register("text", "standin", lambda _f: lambda texts: [hashed_vector(t, 384) for t in texts])
+#: The text side of the image stand-in: captions and query texts share its places.
+register("text", "standin-joint", lambda _f: lambda texts: [hashed_vector(t, 512) for t in texts])
 register("image", "standin", lambda _f: lambda pairs: [hashed_vector(hashlib.md5(content or b"").hexdigest() + " " + caption, 512) for content, caption in pairs])
 register("speech", "standin", lambda _f: lambda blobs: [([" text ", "of ", str(len(b)), " bytes"], "de", 0.5) if b.strip(b"\0") else ([], "de", 0.0) for b in blobs])
 

@@ -62,6 +62,11 @@ def has_attachment_type(messages: DataFrame, kind: str) -> bool:
     return not messages.where(F.col("attachment.type") == kind).select(F.lit(1)).limit(1).isEmpty()
 
 
+def attachment_type_by_chat(messages: DataFrame, kind: str, chat: str = "chat_id") -> DataFrame:
+    """(chat_id, found): the same for every chat at once."""
+    return messages.groupBy(chat).agg(F.coalesce(F.bool_or(F.col("attachment.type") == kind), F.lit(False)).alias("found"))
+
+
 def has_field(table: DataFrame, name: str) -> bool:
     """Whether a table has a column, dotted for nested ones."""
     kind = table.schema

@@ -46,10 +46,10 @@ def in_order(rows: DataFrame, size: int = 0, order: Sequence[str] = ("date", "id
     return ordered.limit(size) if size else ordered
 
 
-def page_numbers(rows: DataFrame, size: int, chat: str = "chat_id", order: Sequence[str] = ("date", "id"), slots: int = 256) -> DataFrame:
+def page_numbers(rows: DataFrame, size: int, chat: str = "chat_id", order: Sequence[str] = ("date", "id")) -> DataFrame:
     """Number of the page of ``size`` rows that a row is on within its chat.
 
-    Rows are counted by chat and slot of time first, so that a chat with a third of all rows is numbered by many tasks.
+    Rows are counted by chat and day first, so that a chat with a third of all rows is numbered by many tasks.
     """
     day = F.col(order[0]).cast("date")
     keyed = rows.withColumn("_day", day)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -16,6 +17,14 @@ def counted(rows: DataFrame, **conditions: Column) -> tuple[DataFrame, Observati
     return rows.observe(seen, F.count(F.lit(1)).alias("total"), *counts), seen
 
 
+def counts(seen: Observation, *names: str) -> dict[str, int]:
+    """What an observation holds after the action; zeros where the planner found that there are no rows and left the counting out."""
+    try:
+        return dict(seen.get)
+    except Py4JJavaError:
+        return dict.fromkeys(("total", *names), 0)
+
+
 def timed(run: Callable[[], object]) -> tuple[object, float]:
     """A result and the seconds it took."""
     began = time.monotonic()

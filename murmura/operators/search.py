@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmura.operators.filters import checked_search, conjunction, date_range, in_chats
-from murmura.schemas import SEARCH_HITS
+from murmura.operators.metrics import timed
 
 #: Neighbours that one search considers.
 K_MAX = 1000
@@ -90,6 +90,8 @@ def search_text(vectors: DataFrame, query: str, encode, top_k: int = 500, **filt
     return search(vectors, vector, top_k, **filters)
 
 
-def empty_hits(vectors: DataFrame) -> DataFrame:
-    """The result over a table that does not exist yet."""
-    return vectors.sparkSession.createDataFrame([], SEARCH_HITS)
+def timed_search(vectors: DataFrame, query: str, encode, top_k: int = 500, **filters) -> dict:
+    """The answer to a search request: its hits, their number, and the seconds that encoding and searching took."""
+    vector, encoding = timed(lambda: encode(query))
+    hits, searching = timed(lambda: [(r["id"], r["score"]) for r in search_text(vectors, query, lambda _: vector, top_k, **filters).collect()])
+    return {"hits": hits, "total": len(hits), "encoding_s": encoding, "searching_s": searching}

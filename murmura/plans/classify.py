@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions.text import alnum_length, clean, first_filled, length_error
+from murmura.functions.times import utc_now
 from murmura.models import classify_column, positive_score
 from murmura.operators.filters import unclassified
 from murmura.operators.mutate import set_struct
@@ -29,7 +30,7 @@ def pending(messages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 def classify(documents: DataFrame, settings: Settings = DEFAULT, model: str = "standin", processed_at: Column | None = None) -> DataFrame:
     """(id, classification) of (id, text). One pass: texts with an error are null to the model, which leaves nulls out."""
-    at = F.lit(None).cast("timestamp_ntz") if processed_at is None else processed_at
+    at = utc_now() if processed_at is None else processed_at
     ready = preprocess(documents, settings.classification_min_length)
     asked = F.when(F.col("error").isNull(), F.col("text"))
     scored = ready.select("id", "error", classify_column(asked, model, batch=settings.classification_batch).alias("r"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmura.functions.times import utc_now
 from murmura.models import encode_column
 from murmura.operators.filters import to_embed
 from murmura.settings import Settings
@@ -23,7 +24,7 @@ def explode_fields(messages: DataFrame, fields: Sequence[str] = DEFAULT.text_emb
 
 def embed(messages: DataFrame, settings: Settings = DEFAULT, model: str = "standin", processed_at: Column | None = None) -> DataFrame:
     """Rows of the table of text vectors; a message that comes twice has its vectors once."""
-    at = F.lit(None).cast("timestamp_ntz") if processed_at is None else processed_at
+    at = utc_now() if processed_at is None else processed_at
     parts = explode_fields(messages.where(to_embed(settings.text_embedding_fields)), settings.text_embedding_fields).dropDuplicates(["message_id", "source_field"])
     vector = encode_column(F.col("content"), model, batch=settings.text_model_batch)
     return parts.select("message_id", "chat_id", "language", "date", at.alias("processed_at"), "source_field", vector.alias("vector"))

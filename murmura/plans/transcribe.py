@@ -19,6 +19,7 @@ from murmura.models import _loaded
 from murmura.operators.filters import unprocessed_audio
 from murmura.operators.mutate import merge_fields
 from murmura.settings import Settings
+from murmura.sources import blobs
 
 DEFAULT = Settings()
 RESULT_FIELDS = ("transcription_status", "transcription", "transcription_language", "transcription_language_probability")
@@ -62,14 +63,14 @@ def _spoken(frames: Iterator[pd.DataFrame], model: str) -> Iterator[pd.DataFrame
         yield pd.DataFrame(rows, columns=["id", "segments", "language", "probability", "no_audio", "failed"])
 
 
-def transcribe(chosen: DataFrame, media: DataFrame, model: str = "standin") -> DataFrame:
+def transcribe(chosen: DataFrame, media: str | DataFrame, model: str = "standin") -> DataFrame:
     """(id, status, text, language, probability) of (id, path); a file that is missing or empty stays pending."""
     schema = "id string, segments array<string>, language string, probability double, no_audio boolean, failed boolean"
-    spoken = chosen.join(media, "path").select("id", "content").mapInPandas(partial(_spoken, model=model), schema)
+    spoken = blobs.with_content(chosen.select("id", "path"), media).where("content is not null").select("id", "content").mapInPandas(partial(_spoken, model=model), schema)
     return spoken.select("id", *outcome(F.col("segments"), F.col("language"), F.col("probability"), F.col("no_audio"), F.col("failed")))
 
 
-def run(messages: DataFrame, media: DataFrame, settings: Settings = DEFAULT, model: str = "standin") -> DataFrame:
+def run(messages: DataFrame, media: str | DataFrame, settings: Settings = DEFAULT, model: str = "standin") -> DataFrame:
     """The table after one run: chosen messages pending, then those with a file done."""
     chosen = open_media(messages, settings)
     return merge_fields(mark_pending(messages, chosen), transcribe(chosen, media, model), "attachment", RESULT_FIELDS)

@@ -13,8 +13,8 @@ from murmura import models
 from murmura.functions import refs, text
 from murmura.functions.vectors import l2_normalized, norm, usable
 from murmura.operators import filters, incremental, mutate, nested, search
-from murmura.plans import classify, embed_text, transcribe
-from murmura.schemas import TEXT_VECTORS
+from murmura.plans import classify, embed_images, embed_text, transcribe
+from murmura.schemas import IMAGE_VECTORS, TEXT_VECTORS
 from murmura.sources import vectors
 from murmura.sources.tables import checkpoint_dir, table
 from murmura.streaming import runs
@@ -28,7 +28,6 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["p5_found"] = lambda s, d: _nodes(s, d).where("kind <> 'other'").select("record_id", "node_path")
-QUERIES["p5_others"] = lambda s, d: nested.others(_nodes(s, d)).withColumn("fields", F.to_json("fields"))
 QUERIES["p5_attachments"] = lambda s, d: nested.attachments(_nodes(s, d))
 QUERIES["p5_storage_refs"] = lambda s, d: nested.storage_refs(_nodes(s, d))
 QUERIES["p5_variants"] = lambda s, d: nested.variants(_nodes(s, d))
@@ -203,8 +202,8 @@ QUERIES["list_chats"] = lambda s, d: vectors.chats(table(s, d, "messages"))
 ORACLES["list_chats"] = "SELECT DISTINCT chat_id FROM messages"
 QUERIES["tables_from_alias"] = lambda s, d: table(s, d, "chats").select(refs.table_of_chat("messages", F.col("chat_id")).alias("name")).withColumn("chat_id", refs.chat_of_table(F.col("name")))
 ORACLES["tables_from_alias"] = "SELECT 'messages_' || chat_id AS name, list_last(string_split('messages_' || chat_id, '_')) AS chat_id FROM chats"
-QUERIES["has_attachment_type"] = lambda s, d: table(s, d, "messages").groupBy("chat_id").agg(F.coalesce(F.bool_or(F.col("attachment.type") == "photo"), F.lit(False)).alias("has_photo"))
-ORACLES["has_attachment_type"] = "SELECT chat_id, coalesce(bool_or(attachment.type = 'photo'), FALSE) AS has_photo FROM messages GROUP BY chat_id"
+QUERIES["has_attachment_type"] = lambda s, d: filters.attachment_type_by_chat(table(s, d, "messages"), "photo")
+ORACLES["has_attachment_type"] = "SELECT chat_id, coalesce(bool_or(attachment.type = 'photo'), FALSE) AS found FROM messages GROUP BY chat_id"
 
 # --- incremental work -------------------------------------------------------------------------------------------------
 
@@ -273,8 +272,8 @@ ORACLES["classify_apply_update"] = f"""
 SELECT m.id AS id, CASE WHEN r.id IS NULL THEN classification.classified ELSE r.classified END AS classified,
   CASE WHEN r.id IS NULL THEN classification.score_pos ELSE r.score_pos END AS score_pos, CASE WHEN r.id IS NULL THEN classification.error ELSE r.error END AS error
 FROM messages m LEFT JOIN ({_RESULTS}) r ON m.id = r.id"""
-QUERIES["clear_classification"] = lambda s, d: mutate.clear_classification(table(s, d, "messages")).select("id", F.col("classification").isNull().alias("cleared"))
-ORACLES["clear_classification"] = "SELECT id, TRUE AS cleared FROM messages"
+QUERIES["clear_classification"] = lambda s, d: mutate.clear_classification(table(s, d, "messages")).select("id", "text", *[F.col(f"classification.{c}").alias(c) for c in ("classified", "error")])
+ORACLES["clear_classification"] = "SELECT id, text, CAST(NULL AS BOOLEAN) AS classified, CAST(NULL AS VARCHAR) AS error FROM messages"
 
 # --- transcription ----------------------------------------------------------------------------------------------------
 
@@ -321,8 +320,26 @@ FROM messages WHERE attachment IS NOT NULL"""
 # --- embedding and streams --------------------------------------------------------------------------------------------
 
 _KEYS = f"SELECT DISTINCT message_id, source_field FROM ({_EXPLODED})"
-QUERIES["embed_text_vectors"] = lambda s, d: embed_text.embed(table(s, d, "messages")).select("message_id", "source_field", F.size("vector").alias("dim"))
-ORACLES["embed_text_vectors"] = f"SELECT message_id, source_field, 384 AS dim FROM ({_KEYS})"
+
+
+def _places(vectors: DataFrame, *keys: str) -> DataFrame:
+    """Of each vector, the places that hold anything and the signs there, in order."""
+    signs = F.filter(F.transform("vector", lambda x, i: F.when(x > 0, i + 1).when(x < 0, -i - 1)), lambda x: x.isNotNull())
+    return vectors.select(*keys, F.size("vector").alias("dim"), F.array_join(signs, " ").alias("places"))
+
+
+def _hashed_sql(source: str, keys: str, text: str, dim: int) -> str:
+    """The same from the texts: tokens hashed to signed places, by the definition of the stand-in encoder."""
+    h = "CAST('0x' || substr(md5(token), 1, 16) AS UBIGINT)"
+    tokens = f"SELECT {keys}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+')) AS token FROM {source}"
+    summed = f"SELECT {keys}, CAST({h} % {dim} AS BIGINT) AS p, sum(CASE WHEN {h} >= 9223372036854775808 THEN 1 ELSE -1 END) AS n FROM ({tokens}) GROUP BY ALL"
+    placed = f"SELECT {keys}, string_agg(CAST(CASE WHEN n > 0 THEN p + 1 ELSE -p - 1 END AS VARCHAR), ' ' ORDER BY p) AS places FROM ({summed}) WHERE n <> 0 GROUP BY ALL"
+    return f"SELECT {keys}, {dim} AS dim, coalesce(places, '1') AS places FROM (SELECT {keys} FROM {source}) LEFT JOIN ({placed}) USING ({keys})"
+
+
+_FIELDS = f"(SELECT DISTINCT ON (message_id, source_field) message_id, source_field, content FROM ({_EXPLODED}))"
+QUERIES["embed_text_vectors"] = lambda s, d: _places(embed_text.embed(table(s, d, "messages")), "message_id", "source_field")
+ORACLES["embed_text_vectors"] = _hashed_sql(_FIELDS, "message_id, source_field", "content", 384)
 QUERIES["embed_then_search"] = lambda s, d: search.search_text(embed_text.embed(table(s, d, "messages")), "Fahrplan der Linie", models.encode_query, 100)
 
 
@@ -354,3 +371,71 @@ QUERIES["stream_classify"] = stream_classify
 ORACLES["stream_classify"] = _RESULTS
 QUERIES["stream_embed_incremental"] = stream_embed_incremental
 ORACLES["stream_embed_incremental"] = _KEYS
+
+# --- media ------------------------------------------------------------------------------------------------------------
+
+#: A stand-in for the store: the content of a file follows from its path (an image begins as a small PNG); names that end in 7 have no file.
+_PNG = "89504e470d0a1a0a0000000d49484452000000080000000808020000004b6d29dc"
+
+
+def _store(paths: DataFrame, image: bool) -> DataFrame:
+    content = F.encode("path", "utf-8")
+    content = F.concat(F.unhex(F.lit(_PNG)), content) if image else content
+    return paths.select("path").distinct().where("path not like '%7' and path not like '%7.%'").select("path", content.alias("content"))
+
+
+def transcribe_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All open media transcribed by the stand-in, which tells the length of the file; a missing file stays pending."""
+    m = table(spark, sf_dir, "messages")
+    return _speech(transcribe.run(m, _store(transcribe.usable(m), False)))
+
+
+_OPEN = f"id IN (SELECT id FROM messages WHERE {_AUDIO} AND {_PATH} IS NOT NULL) AND attachment IS NOT NULL"
+_THERE = f"{_PATH} NOT LIKE '%7' AND {_PATH} NOT LIKE '%7.%'"
+QUERIES["transcribe_run"] = transcribe_run
+ORACLES["transcribe_run"] = f"""
+SELECT id, attachment IS NOT NULL AS has_attachment, attachment.type AS type,
+  CASE WHEN done THEN 'text of ' || strlen(path) || ' bytes' ELSE attachment.transcription END AS transcription,
+  CASE WHEN done THEN 'SUCCESS' WHEN open THEN 'PENDING' ELSE attachment.transcription_status END AS transcription_status,
+  CASE WHEN done THEN 'de' ELSE attachment.transcription_language END AS transcription_language,
+  CASE WHEN done THEN 0.5 ELSE attachment.transcription_language_probability END AS transcription_language_probability
+FROM (SELECT id, attachment, {_PATH} AS path, coalesce({_OPEN}, FALSE) AS open, coalesce({_OPEN} AND {_THERE}, FALSE) AS done FROM messages)"""
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "messages")
+    return embed_images.embed(m, _store(embed_images.pending(m), True))
+
+
+_PHOTO = "list_filter(attachment.storage_refs, lambda r: r.bucket = 'photos')[1].object"
+_PHOTOS = f"(SELECT DISTINCT ON (id) id AS message_id, 'photos/' || {_PHOTO} AS path, coalesce(caption, '') AS caption FROM messages WHERE {_IMAGES} AND {_PHOTO} IS NOT NULL)"
+_NO_FILE = "path LIKE '%7' OR path LIKE '%7.%'"
+QUERIES["embed_images_run"] = lambda s, d: _places(_images(s, d).where("error is null"), "message_id").unionByName(_images(s, d).where("error is not null").select("message_id", F.lit(0).alias("dim"), F.col("error").alias("places")))
+ORACLES["embed_images_run"] = f"""
+{_hashed_sql(f"(SELECT message_id, md5(unhex('{_PNG}') || encode(path)) || ' ' || caption AS content FROM {_PHOTOS} WHERE NOT ({_NO_FILE}))", "message_id", "content", 512)}
+UNION ALL SELECT message_id, 0 AS dim, 'no file: ' || path AS places FROM {_PHOTOS} WHERE {_NO_FILE}"""
+
+
+def _joint_sql(query: str) -> str:
+    return "[" + ", ".join(str(float(x)) for x in models.encode_query(query, "standin-joint")) + "]::DOUBLE[]"
+
+
+_ASKED = "Fahrplan der Linie"
+QUERIES["image_search_by_text"] = lambda s, d: _rounded(search.search_images(table(s, d, "image_vectors"), _ASKED, lambda q: models.encode_query(q, "standin-joint"), 100, tie=("vec_id",)))
+ORACLES["image_search_by_text"] = f"""
+SELECT id, round(max(score), 9) AS score FROM (
+  SELECT message_id AS id, (1 + list_cosine_similarity(CAST(vector AS DOUBLE[]), {_joint_sql(_ASKED)})) / 2 AS score FROM image_vectors
+  WHERE {_usable_sql(512)} ORDER BY score DESC, message_id, vec_id LIMIT 100) GROUP BY id"""
+
+
+def stream_vectorize_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages as arrivals, their photos vectorized; a second run with a new state adds nothing."""
+    out, state = _stream_dirs(spark)
+    store = _store(embed_images.pending(table(spark, sf_dir, "messages")), True)
+    for k in range(2):
+        runs.vectorize_arrivals(spark, f"{sf_dir}/{_ARRIVALS}", store, out, f"{state}{k}")
+    return vectors.read(spark, out, IMAGE_VECTORS).select("message_id", F.col("processed_at").isNotNull().alias("dated"))
+
+
+QUERIES["stream_vectorize_images"] = stream_vectorize_images
+ORACLES["stream_vectorize_images"] = f"SELECT message_id, TRUE AS dated FROM {_PHOTOS} WHERE NOT ({_NO_FILE})"

@@ -7,10 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from murmura.sources import blobs
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` of a data directory."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def table(spark: SparkSession, sf_dir: str, name: str, schema: str | None = None) -> DataFrame:
+    """The Parquet table ``name`` of a data directory; with a schema, an empty one where it does not exist yet."""
+    path = f"{sf_dir}/{name}.parquet"
+    if schema and not blobs.exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(path)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

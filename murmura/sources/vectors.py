@@ -7,8 +7,10 @@ import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from murmura.operators.incremental import without_result
+from murmura.operators.metrics import counted, counts
 from murmura.sources import blobs
 
 
@@ -45,15 +47,32 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if blobs.exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Append; a task that is repeated replaces what it wrote (the committer's rule), so rows come once."""
-    rows.write.mode("append").partitionBy("chat_id").parquet(path)
+#: Files that a chat's rows of one append are spread over at most; chats that an append names to the table at most.
+FILES_PER_CHAT, CHATS_NAMED = 8, 10_000
 
 
-def append_new(rows: DataFrame, path: str, schema: str, keys: Sequence[str] = ("message_id", "source_field")) -> None:
-    """Append only rows whose key is not in the table: a batch that is delivered again adds nothing."""
+def append(rows: DataFrame, path: str, key: str = "message_id") -> int:
+    """Append, and return how many rows; a task that is repeated replaces what it wrote (the committer's rule), so rows come once.
+
+    A chat's rows meet in a few tasks first, so that an append adds few files to a chat, and a chat of many rows still spreads.
+    """
+    counted_rows, seen = counted(rows)
+    placed = counted_rows.repartition("chat_id", F.pmod(F.xxhash64(key), F.lit(FILES_PER_CHAT)))
+    attempt(lambda: placed.write.mode("append").partitionBy("chat_id").parquet(path))
+    return counts(seen)["total"]
+
+
+def append_new(rows: DataFrame, path: str, schema: str, keys: Sequence[str] = ("message_id", "source_field")) -> int:
+    """Append only rows whose key is not in the table: a batch that is delivered again adds nothing.
+
+    Of the table only the partitions of the batch's chats are read, where these are few enough to be named.
+    """
     known = read(rows.sparkSession, path, schema)
-    append(without_result(rows.dropDuplicates(list(keys)), known, keys), path)
+    named = [r[0] for r in rows.select("chat_id").distinct().limit(CHATS_NAMED + 1).collect()]
+    if len(named) <= CHATS_NAMED:
+        some = F.col("chat_id").isin([c for c in named if c is not None])
+        known = known.where(some | F.col("chat_id").isNull() if None in named else some)
+    return append(without_result(rows.dropDuplicates(list(keys)), known, keys), path)
 
 
 def drop(spark: SparkSession, path: str) -> bool:

@@ -1,4 +1,5 @@
 import datetime as dt
+import struct
 import uuid
 
 import numpy as np
@@ -6,14 +7,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmura import models
+from murmura.functions.media import image_header
 from murmura.operators import filters, incremental, mutate, search
 from murmura.plans import classify, embed_images, embed_text, transcribe
 from murmura.schemas import IMAGE_VECTORS, MESSAGES, TEXT_VECTORS
 from murmura.settings import Settings
 from murmura.sources import blobs, vectors
+from murmura.sources.tables import table
 from murmura.streaming import runs
 
 DAY = dt.datetime(2025, 1, 1)
+PNG = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0\0\x08\0\0\0\x04\x08\x02\0\0\0"
 LONG = "Das ist ein ausreichend langer deutscher Satz, der sicher mehr als fünfzig Zeichen hat."
 
 
@@ -34,7 +38,7 @@ def messages(spark):
         message("g", "kurz", day=3), message("h", "", day=3), message("i", None, "", day=3, chat=None),
         message("v1", attachment=attachment("voice", voice)), message("v2", attachment=attachment("audio", [("audios", "gone.mp3")])), message("v3", attachment=attachment("voice", voice, "PENDING")),
         message("v4", attachment=attachment("voice", voice, "SUCCESS", "Text")), message("v5", attachment=attachment("voice", [("thumbnails", "t")])), message("v6", attachment=attachment("voice", [("voices", "empty.ogg")])),
-        message("p1", None, "Bild", attachment=attachment("photo", [("photos", "p/1.jpg")]), day=4), message("p2", attachment=attachment("photo", [])), message("p3", attachment=attachment("photo", [("photos", "none.jpg")]), day=5),
+        message("p1", None, "Bild", attachment=attachment("photo", [("photos", "p/1.jpg")]), day=4), message("p2", attachment=attachment("photo", [])), message("p3", attachment=attachment("photo", [("photos", "none.jpg")]), day=5), message("p4", attachment=attachment("photo", [("photos", "bad.jpg")]), day=5),
     ]
     return spark.createDataFrame(rows, MESSAGES)
 
@@ -42,10 +46,10 @@ def messages(spark):
 @pytest.fixture(scope="module")
 def media(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("media")
-    for path, content in (("voices/v/1.ogg", b"sound"), ("voices/empty.ogg", b"\0\0"), ("photos/p/1.jpg", b"picture")):
+    for path, content in (("voices/v/1.ogg", b"sound"), ("voices/empty.ogg", b"\0\0"), ("photos/p/1.jpg", PNG), ("photos/bad.jpg", b"no picture")):
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_bytes(content)
-    return blobs.media(spark, str(root))
+    return str(root)
 
 
 def test_classification(spark, messages):
@@ -112,7 +116,13 @@ def test_knn_against_numpy(spark):
 
 def test_images_and_speech(spark, messages, media):
     rows = {r.message_id: r for r in embed_images.embed(messages, media).collect()}
-    assert set(rows) == {"p1", "p3"} and len(rows["p1"].vector) == 512 and rows["p3"].vector is None and rows["p3"].error.startswith("no file")
+    assert set(rows) == {"p1", "p3", "p4"} and len(rows["p1"].vector) == 512 and rows["p3"].vector is None and rows["p3"].error.startswith("no file") and rows["p4"].error == "unreadable image"
+    joined = {r.message_id: r.vector for r in embed_images.embed(messages, blobs.media(spark, media)).collect()}
+    assert joined == {i: r.vector for i, r in rows.items()}  # a table of contents gives the same
+    now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
+    assert all(abs((now - r.processed_at).total_seconds()) < 600 for r in rows.values())
+    assert abs((now - embed_text.embed(messages).first().processed_at).total_seconds()) < 600
+    assert search.search_images(embed_images.embed(messages, media), "Bild", lambda q: models.encode_query(q, "standin-joint")).first().id == "p1"
     assert set(c for c in embed_images.embed(messages, media).columns) >= {f.split()[0] for f in IMAGE_VECTORS.split(", ")}
     chosen = transcribe.open_media(messages)
     assert {tuple(r) for r in chosen.collect()} == {("v1", "voices/v/1.ogg"), ("v2", "audios/gone.mp3"), ("v6", "voices/empty.ogg")}
@@ -183,3 +193,32 @@ def test_knn_leaves_out_unusable_vectors_and_orders_ties(spark):
     assert hits == [("a", 1.0), ("a", 1.0), ("b", 1.0), (None, 0.5)]
     assert [r.id for r in search.knn(df, [1.0, 0.0], 2, tie=("vec_id",)).collect()] == ["a", "a"]
     assert search.knn(df.limit(0), [1.0, 0.0], 5).count() == 0
+
+
+def test_image_headers():
+    assert image_header(PNG) == ("png", 8, 4)
+    assert image_header(b"GIF89a" + struct.pack("<HH", 3, 5)) == ("gif", 3, 5)
+    assert image_header(b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x0b\x08" + struct.pack(">HH", 6, 7) + b"\x03") == ("jpeg", 7, 6)
+    assert image_header(b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + b"\x09\0\0\x04\0\0") == ("webp", 10, 5)
+    for bad in (b"", b"text", PNG[:20], b"\xff\xd8\xff", b"GIF89a\0\0\0\0"):
+        with pytest.raises(ValueError):
+            image_header(bad)
+
+
+def test_image_runs(spark, messages, media, tmp_path):
+    source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    messages.coalesce(1).write.parquet(source)
+    first = runs.vectorize_arrivals(spark, source, media, out, state)
+    assert first["total"] == 1 and first["batches"] == 1 and first["seconds"] > 0
+    assert runs.vectorize_arrivals(spark, source, media, out, state + "2")["total"] == 0
+    assert [r.message_id for r in vectors.read(spark, out, IMAGE_VECTORS).collect()] == ["p1"]
+    counts = runs.classify_arrivals(spark, source, str(tmp_path / "c"), str(tmp_path / "cs"))
+    assert counts["total"] == 4 and counts["failed"] == 2
+    assert runs.alone(spark, state, lambda: runs.alone(spark, state, dict) or {"ran": 1}) == {"ran": 1}
+    assert runs.alone(spark, state, lambda: {"ran": 2}) == {"ran": 2}
+    waits = []
+    runs.every(2, lambda: None, times=3, sleep=waits.append)
+    assert len(waits) == 2 and all(119 < w <= 120 for w in waits)
+    assert table(spark, str(tmp_path), "none", TEXT_VECTORS).count() == 0
+    answer = search.timed_search(embed_text.embed(messages), LONG, models.encode_query, 3)
+    assert answer["total"] == len(answer["hits"]) > 0 and answer["searching_s"] > 0
