@@ -1,17 +1,24 @@
 """The k most similar vectors of every vector, by adaptive scans of inverted lists.
 
 Vectors are put into lists by their most similar centroid; the centroids come from k-means over a bounded sample
-(``SAMPLE`` rows picked by a hash of the key; every row is put into a list and asked for). A vector also probes further
-lists whose centroid is nearly as similar as its own one's. Within a list, vectors are rotated by a fixed random
+(rows picked by a hash of the key; every row is put into a list and asked for), in two levels where there are many. The number of
+lists grows with the rows, from ``MANY`` lists on with their square root, so that the work is about n ** 1.5.
+
+Which further lists a vector probes is set by measurement: about ``ASKED`` vectors are compared with all rows, and the
+narrowest rule (a share of, or a distance from, the similarity to the nearest centroid) under which ``TARGET`` of their true neighbours lie in
+probed lists is taken; there is no cap on the lists probed. If that rule would probe more than ``EXACT_SHARE`` of the
+lists - no list can help with vectors that are spread evenly - all pairs are compared, in tiles: the exact mode, which ``exact`` also asks for.
+
+Within a list, vectors are rotated by a fixed random
 rotation and compared in blocks of columns: the distance over the first d columns, times D/d, estimates the whole
 distance, and a candidate is abandoned as soon as the hypothesis that it is within the k-th best distance found so far
-is rejected (at ``EPSILON`` / sqrt(d) relative error). What survives all blocks has its exact cosine, in double.
+is rejected (at ``EPSILON`` / sqrt(d) relative error). What survives all blocks has its cosine computed in double.
 
 Vectors travel as half-precision numbers scaled by a power of two: two bytes a dimension, once for their own list and
-once for each further list probed. Lists over ``BLOCK`` rows are tiled into blocks of candidates and of queries, so a
+once for each further list probed; similarities are cosines of these (off by some 1e-5). Lists over ``BLOCK`` rows are tiled into blocks of candidates and of queries, so a
 list that holds a third of all vectors is still spread over the cluster.
 
-Of vectors that are equal (as half-precision numbers) only the k + 1 rows of least key take part in the search: they are
+Of vectors that are equal (every stored number, up to a power of two) only the k + 1 rows of least key take part in the search: they are
 the best neighbours of all others of their kind, so a vector that a third of all rows share costs no more than its k + 1.
 
 Results: usable are vectors of full length without null or NaN or infinite entries and not all zero; others neither ask nor answer.
@@ -31,12 +38,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows a list has on average, until SAMPLE // PER_LIST lists are reached; from there on lists grow.
-LIST, SAMPLE, PER_LIST = 256, 20_000, 16
-MARGIN, MOST_PROBES, BLOCK = 0.6, 8, 20_000
+#: Rows a list has on average up to MANY lists; from there on the number of lists grows with the square root of the rows.
+LIST, MANY = 256, 4096
+#: Rows of the sample that lists are learned from: so many for each list, and bounds of the whole.
+PER_LIST, LEAST_SAMPLE, SAMPLE = 16, 20_000, 400_000
+#: More lists are learned in two levels.
+FLAT = 2048
+#: Vectors whose true neighbours are sought among all rows to set the probes, and the share of those that must be in probed lists.
+ASKED, TARGET, EXACT_SHARE = 400, 0.995, 0.35
+BLOCK = 20_000
 EPSILON, COLUMNS = 2.1, (64, 192)
 
 
+def number_of_lists(n: int, per_list: int = LIST) -> int:
+    return max(1, min(n // per_list, max(MANY, int(MANY * (n / (MANY * per_list)) ** 0.5))))
+
+
 @lru_cache(maxsize=4)
 def rotation(dim: int) -> np.ndarray:
     """A fixed random rotation."""
@@ -68,7 +85,13 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def centroids(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
-    """Unit centroids of spherical k-means."""
+    """Unit centroids of spherical k-means; of many, those of coarse clusters first and then of each cluster's own rows."""
+    n = min(n, len(sample))
+    if n > FLAT:
+        coarse = centroids(sample, int(n**0.5), rounds, seed)
+        near = np.concatenate([(sample[a : a + 4096] @ coarse.T).argmax(1) for a in range(0, len(sample), 4096)])
+        parts = [np.flatnonzero(near == k) for k in range(len(coarse))]
+        return np.concatenate([centroids(sample[p], max(1, round(n * len(p) / len(sample))), rounds, seed) for p in parts if len(p)])
     rng = np.random.default_rng(seed)
     c = sample[rng.choice(len(sample), n, replace=False)].copy()
     for _ in range(rounds):
@@ -82,18 +105,38 @@ def centroids(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 7) -> np.
     return c
 
 
-def probes(x: np.ndarray, c: np.ndarray, margin: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) of every list that a row probes; a row's own list is its first."""
+def probes(x: np.ndarray, c: np.ndarray, rule: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of every list that a row probes by ``rule`` (share of, distance from the greatest similarity); a row's own list is its first."""
     s = x @ c.T
-    most = min(most, len(c))
-    top = np.argpartition(-s, most - 1, axis=1)[:, :most]
-    value = np.take_along_axis(s, top, 1)
-    order = np.argsort(-value, axis=1, kind="stable")
-    top, value = np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
-    # A vector near no centroid has little reason to prefer its own.
-    near = value >= np.minimum(margin * value[:, :1], value[:, :1] - 0.02)
-    rows, rank = np.nonzero(near)
-    return rows, top[rows, rank]
+    own = s.argmax(1)
+    top = s[np.arange(len(x)), own]
+    near = s >= _least(top, rule)[:, None]
+    near[np.arange(len(x)), own] = False
+    rows, lists = np.nonzero(near)
+    rows, lists = np.concatenate([np.arange(len(x)), rows]), np.concatenate([own, lists])
+    order = np.argsort(rows, kind="stable")
+    return rows[order], lists[order]
+
+
+def _least(top: np.ndarray, rule: tuple[float, float]) -> np.ndarray:
+    share, distance = rule
+    return np.minimum(share * np.maximum(top, 0), top - distance)
+
+
+def set_rule(s: np.ndarray, asked: np.ndarray, lists: np.ndarray, target: float = TARGET) -> tuple[tuple[float, float], float, float]:
+    """(rule, mean number of lists it probes, share of the neighbours in them) of queries' similarities ``s`` to the centroids
+    and the (query, list) of their true neighbours: of both kinds of rule the narrowest that reaches the target, the cheaper one."""
+    top = s.max(1)
+    value = s[asked, lists]
+    found = []
+    for quantity in (value / np.maximum(top[asked], 1e-9), value - top[asked]):
+        edge = float(np.quantile(quantity, 1 - target, method="lower")) - 1e-6 if len(value) else 0.0
+        rule = (edge, 0.0) if not found else (1.0, -edge)
+        inside = s >= _least(top, rule)[:, None]
+        found.append((float(inside.sum(1).mean()), rule, float(inside[asked, lists].mean()) if len(value) else 1.0))
+    # A share of a negative or small similarity reaches everything: such a rule is only as good as its count.
+    cost, rule, share = min(found)
+    return rule, cost, share
 
 
 def scan(q: np.ndarray, q_id: np.ndarray, b: np.ndarray, b_id: np.ndarray, k: int, columns=COLUMNS, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,13 +196,41 @@ def _sampled(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in packed(v)] if len(v) else [], pa.binary())], names=["v"])
 
 
-def _probed(batches: Iterator[pa.RecordBatch], dim: int, lists, margin: float, most: int):
+def _truth(batches: Iterator[pa.RecordBatch], dim: int, k: int, lists, asked) -> Iterator[pa.RecordBatch]:
+    """Of a partition, the k most similar rows of each asked vector: (query, row, similarity, list of the row)."""
+    ids, q = asked.value
+    best = [np.full((len(q), k), -2.0, dtype=np.float32), np.full((len(q), k), -1, dtype=np.int64), np.full((len(q), k), -1, dtype=np.int64)]
+    for batch in batches:
+        for a in range(0, batch.num_rows, 4096):
+            part = batch.slice(a, 4096)
+            at, v = matrix(part.column(1), dim)
+            if not len(at):
+                continue
+            x, keys = unit(v), part.column(0).to_numpy()[at]
+            s = q @ x.T
+            s[ids[:, None] == keys[None, :]] = -2
+            some = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+            value = np.take_along_axis(s, some, 1)
+            better = value > best[0][:, -1:]
+            rows, inverse = np.unique(some[better], return_inverse=True)
+            own = np.full(some.shape, -1, dtype=np.int64)
+            if len(rows):
+                own[better] = (x[rows] @ lists.value.T).argmax(1)[inverse]
+            merged = [np.concatenate([b, n], axis=1) for b, n in zip(best, (np.where(better, value, -2), keys[some], own), strict=True)]
+            order = np.argsort(-merged[0], axis=1, kind="stable")[:, :k]
+            best = [np.take_along_axis(m, order, 1) for m in merged]
+    query, _ = np.nonzero(best[0] > -2)
+    real = best[0] > -2
+    yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int32)), pa.array(best[1][real]), pa.array(best[0][real].astype(np.float64)), pa.array(best[2][real].astype(np.int32))], names=["query", "id", "s", "list"])
+
+
+def _probed(batches: Iterator[pa.RecordBatch], dim: int, lists, rule: tuple[float, float]):
     for batch in batches:
         for k in range(0, batch.num_rows, 4096):
             part = batch.slice(k, 4096)
             at, v = matrix(part.column(1), dim)
             if len(at):
-                rows, found = probes(unit(v), lists.value, margin, most)
+                rows, found = probes(unit(v), lists.value, rule)
                 own = np.ones(len(rows), dtype=bool)
                 own[1:] = rows[1:] != rows[:-1]
                 yield part.column(0).to_numpy()[at], packed(v), rows, found, own
@@ -248,7 +319,7 @@ def _alike(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.R
         for a in range(0, batch.num_rows, 4096):
             part = batch.slice(a, 4096)
             at, v = matrix(part.column(1), dim)
-            kinds.append(_kinds(packed(v)) if len(at) else np.empty(0, dtype=np.int64))
+            kinds.append(_kinds(v) if len(at) else np.empty(0, dtype=np.int64))
             keys.append(part.column(0).to_numpy()[at])
             counts.append(np.ones(len(at), dtype=np.int64))
             size += len(at)
@@ -259,8 +330,10 @@ def _alike(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.R
     yield pa.RecordBatch.from_arrays([pa.array(kinds[0]), pa.array(keys[0]), pa.array(counts[0])], names=["kind", "id", "n"])
 
 
-def _kinds(half: np.ndarray) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(r.tobytes()) for r in half], dtype=np.uint64).view(np.int64)
+def _kinds(v: np.ndarray) -> np.ndarray:
+    """A hash of each vector, over all its numbers, that a power of two does not change."""
+    _, e = np.frexp(np.abs(v).max(1))
+    return np.array([xxhash.xxh64_intdigest(r.tobytes()) for r in np.ldexp(v, -e[:, None]) + 0.0], dtype=np.uint64).view(np.int64)
 
 
 def _kept(batches: Iterator[pa.RecordBatch], dim: int, frequent) -> Iterator[pa.RecordBatch]:
@@ -269,7 +342,7 @@ def _kept(batches: Iterator[pa.RecordBatch], dim: int, frequent) -> Iterator[pa.
     for batch in batches:
         at, v = matrix(batch.column(1), dim)
         ids = batch.column(0).to_numpy()
-        out = [r for r, h in zip(at.tolist(), _kinds(packed(v)).tolist() if len(at) else [], strict=True) if h not in known or ids[r] in known[h]]
+        out = [r for r, h in zip(at.tolist(), _kinds(v).tolist() if len(at) else [], strict=True) if h not in known or ids[r] in known[h]]
         yield batch.take(pa.array(out, pa.int64()))
 
 
@@ -280,7 +353,7 @@ def _copies(batches: Iterator[pa.RecordBatch], dim: int, k: int, frequent) -> It
         at, v = matrix(batch.column(1), dim)
         ids = batch.column(0).to_numpy()
         who, whom = [], []
-        for r, h in zip(at.tolist(), _kinds(packed(v)).tolist() if len(at) else [], strict=True):
+        for r, h in zip(at.tolist(), _kinds(v).tolist() if len(at) else [], strict=True):
             if h in known and ids[r] not in frequent.value[h]:
                 who += [ids[r]] * k
                 whom += known[h]
@@ -291,7 +364,44 @@ def _copies(batches: Iterator[pa.RecordBatch], dim: int, k: int, frequent) -> It
 KINDS = 50_000
 
 
-def nearest(vectors: DataFrame, dim: int, k: int = 10, key: str = "vec_id", vector: str = "vector", sample: int = SAMPLE, margin: float = MARGIN, most: int = MOST_PROBES, per_list: int = LIST, block: int = BLOCK) -> DataFrame:
+def learned_lists(rows: DataFrame, n: int, dim: int, per_list: int = LIST, sample: int = SAMPLE) -> np.ndarray:
+    """Centroids of the lists for ``n`` rows (id, v), from a bounded sample of them."""
+    wanted = number_of_lists(n, per_list)
+    share = min(sample, max(LEAST_SAMPLE, PER_LIST * wanted)) / max(1, n)
+    part = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+    drawn = [r.v for r in rows.where(part).mapInArrow(partial(_sampled, dim=dim), "v binary").collect()]
+    if not drawn:  # no usable vector, or so few that none was drawn: one list
+        return one_list(dim)
+    x = unit(np.frombuffer(b"".join(drawn), dtype=np.float16).reshape(-1, dim).astype(np.float64))
+    return centroids(x, max(1, min(wanted, len(x) // PER_LIST)))
+
+
+def one_list(dim: int) -> np.ndarray:
+    return np.ones((1, dim), dtype=np.float32) / np.sqrt(np.float32(dim))
+
+
+def measured_rule(rows: DataFrame, n: int, dim: int, k: int, lists: np.ndarray, target: float = TARGET, asked: int = ASKED) -> tuple[tuple[float, float], float, float]:
+    """What ``set_rule`` says of about ``asked`` rows and their true neighbours among all rows."""
+    spark = rows.sparkSession
+    part = F.pmod(F.xxhash64("id", F.lit("asked")), F.lit(1 << 30)) < int(min(1.0, asked / max(1, n)) * (1 << 30))
+    drawn = rows.where(part).mapInArrow(partial(_keyed, dim=dim), "id bigint, v binary").orderBy("id").collect()
+    if not drawn:
+        return (1.0, 0.0), 1.0, 1.0
+    q = unit(np.frombuffer(b"".join(r.v for r in drawn), dtype=np.float16).reshape(-1, dim).astype(np.float64))
+    shared = spark.sparkContext.broadcast((np.array([r.id for r in drawn]), q))
+    heads = rows.mapInArrow(partial(_truth, dim=dim, k=k, lists=spark.sparkContext.broadcast(lists), asked=shared), "query int, id bigint, s double, list int")
+    best = W.partitionBy("query").orderBy(F.desc("s"), "id")
+    true = heads.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "list").collect()
+    return set_rule(q @ lists.T, np.array([r.query for r in true], dtype=np.int64), np.array([r["list"] for r in true], dtype=np.int64), target)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, v = matrix(batch.column(1), dim)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([r.tobytes() for r in packed(v)] if len(v) else [], pa.binary())], names=["id", "v"])
+
+
+def nearest(vectors: DataFrame, dim: int, k: int = 10, key: str = "vec_id", vector: str = "vector", target: float = TARGET, exact: bool = False, per_list: int = LIST, block: int = BLOCK) -> DataFrame:
     """(id, neighbour, similarity): the ``k`` most similar other vectors of every usable vector of ``dim`` entries."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).where(f"id is not null and size(v) = {int(dim)}")
@@ -304,18 +414,16 @@ def nearest(vectors: DataFrame, dim: int, k: int = 10, key: str = "vec_id", vect
         shared = spark.sparkContext.broadcast(frequent)
         apart = rows.mapInArrow(partial(_copies, dim=dim, k=k, frequent=shared), "id bigint, neighbour bigint, similarity double")
         rows = rows.mapInArrow(partial(_kept, dim=dim, frequent=shared), "id bigint, v array<float>")
-    part = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, n)) * (1 << 30))
-    drawn = [r.v for r in rows.where(part).mapInArrow(partial(_sampled, dim=dim), "v binary").collect()]
     out = "id bigint, neighbour bigint, similarity double"
-    if not drawn:  # no usable vector, or so few that none was drawn: one list
-        learned = np.ones((1, dim), dtype=np.float32) / np.sqrt(np.float32(dim))
-    else:
-        x = unit(np.frombuffer(b"".join(drawn), dtype=np.float16).reshape(-1, dim).astype(np.float64))
-        learned = centroids(x, max(1, min(n // per_list, len(x) // PER_LIST)))
-    how = {"dim": dim, "lists": spark.sparkContext.broadcast(learned), "margin": margin, "most": most}
+    learned, rule = one_list(dim) if exact else learned_lists(rows, n, dim, per_list), (1.0, 0.0)
+    if len(learned) > 1:
+        rule, cost, _ = measured_rule(rows, n, dim, k, learned, target)
+        if cost > EXACT_SHARE * len(learned):
+            learned, rule = one_list(dim), (1.0, 0.0)
+    how = {"dim": dim, "lists": spark.sparkContext.broadcast(learned), "rule": rule}
     counts = rows.mapInArrow(partial(_counted, **how), "list int, members bigint, askers bigint").groupBy("list").agg(F.sum("members").alias("m"), F.sum("askers").alias("a"))
     tiles = np.ones((2, len(learned)), dtype=np.int64)
-    for r in counts.collect():  # one row for each list, of which there are SAMPLE // PER_LIST at most
+    for r in counts.collect():  # one row for each list, of which there are SAMPLE / PER_LIST at most
         tiles[:, r.list] = max(1, -(-r.m // block)), max(1, -(-r.a // (2 * block)))
     laid = rows.mapInArrow(partial(_laid, tiles=spark.sparkContext.broadcast(tiles), **how), "list int, b int, q int, role tinyint, id bigint, v binary")
 

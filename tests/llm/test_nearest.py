@@ -57,3 +57,44 @@ def test_a_vector_that_many_rows_share(spark):
     assert set(got) == set(range(600)) and all(len(v) == len({a for a, _ in v}) == 10 for v in got.values())
     assert all(i not in [a for a, _ in v] for i, v in got.items())
     assert all(s > 1 - 1e-6 for i in range(400) for _, s in got[i])
+
+
+def found_share(spark, x, k=10, **how):
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, vector array<float>").repartition(4)
+    want, _ = brute(x.astype(np.float32).astype(float), k)
+    got = {}
+    for r in nearest.nearest(df, x.shape[1], k, **how).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    return np.mean([len(got[i] & set(want[i])) / k for i in range(len(x))])
+
+
+def test_recall_on_data_of_low_rank_and_without_structure(spark):
+    """Lists probed as far as measured need be: low rank needs more of them than clusters, evenly spread vectors are compared in full."""
+    rng = np.random.default_rng(6)
+    low = rng.standard_normal((2500, 6)) @ rng.standard_normal((6, 64))
+    even = rng.standard_normal((2500, 64))
+    assert found_share(spark, low, per_list=50) > 0.97
+    assert found_share(spark, even, per_list=50) > 0.999
+    assert found_share(spark, even[:400], exact=True) > 0.999
+
+
+def test_rule_is_the_narrowest_that_reaches_the_target():
+    rng = np.random.default_rng(7)
+    s = rng.uniform(-0.2, 1, (300, 40))
+    asked = np.repeat(np.arange(300), 5)
+    lists = np.argsort(-s, axis=1)[:, :8][asked, rng.integers(0, 8, 1500)]
+    rule, cost, share = nearest.set_rule(s, asked, lists, 0.9)
+    assert share >= 0.9 and 1 <= cost < 40
+    x, c = nearest.unit(rng.standard_normal((50, 8))), nearest.unit(rng.standard_normal((12, 8)))
+    rows, found = nearest.probes(x, c, rule)
+    assert (found[np.searchsorted(rows, np.arange(50))] == (x @ c.T).argmax(1)).all() and len(set(zip(rows, found))) == len(rows)
+    everything, _ = nearest.probes(x, c, (1.0, 5.0))
+    assert len(everything) == 600
+
+
+def test_number_of_lists_grows_with_the_root():
+    assert nearest.number_of_lists(100) == 1 and nearest.number_of_lists(256_000) == 1000
+    assert nearest.number_of_lists(4 * 256 * 4096) == 2 * 4096 and nearest.number_of_lists(100 * 256 * 4096) == 10 * 4096
+    x = nearest.unit(np.random.default_rng(1).standard_normal((9000, 8)))
+    c = nearest.centroids(x, 3000, rounds=2)
+    assert 2500 < len(c) < 3500 and np.allclose(np.linalg.norm(c, axis=1), 1, atol=1e-5)
