@@ -33,6 +33,46 @@ QUERIES["p5_storage_refs"] = lambda s, d: nested.storage_refs(_nodes(s, d))
 QUERIES["p5_variants"] = lambda s, d: nested.variants(_nodes(s, d))
 QUERIES["p5_segments"] = lambda s, d: nested.segments(_nodes(s, d))
 QUERIES["p5_words"] = lambda s, d: nested.words(_nodes(s, d))
+
+#: The nodes by a recursive parse: what the structural index must find.
+_LISTS_SQL = """CASE kind
+  WHEN 'attachment' THEN [{n: 'items', k: 'attachment', v: j->'$.items'}, {n: 'storage_refs', k: 'storage_ref', v: j->'$.storage_refs'},
+    {n: 'transcription.segments', k: 'segment', v: CASE WHEN json_type(j->'$.transcription') = 'OBJECT' THEN j->'$.transcription.segments' END}]
+  WHEN 'storage_ref' THEN [{n: 'variants', k: 'variant', v: j->'$.variants'}]
+  WHEN 'segment' THEN [{n: 'words', k: 'word', v: j->'$.words'}] ELSE [] END"""
+_NODES_SQL = f"""
+WITH RECURSIVE nodes AS (
+  SELECT record_id, 'attachment' AS kind, 'attachment' AS node_path, CAST(NULL AS VARCHAR) AS parent_path, CAST(0 AS INTEGER) AS place, j
+  FROM (SELECT record_id, CASE WHEN json_type(a) = 'VARCHAR' THEN TRY_CAST(a->>'$' AS JSON) ELSE a END AS j
+        FROM (SELECT record_id, TRY_CAST(payload AS JSON)->'$.attachment' AS a FROM attachment_records))
+  WHERE json_type(j) = 'OBJECT'
+  UNION ALL
+  SELECT record_id, l.k, node_path || '.' || l.n || '[' || (i - 1) || ']', node_path, CAST(i - 1 AS INTEGER), es[i]
+  FROM (SELECT record_id, node_path, l, es, unnest(range(1, len(es) + 1)) AS i
+        FROM (SELECT record_id, node_path, l, CASE json_type(l.v) WHEN 'ARRAY' THEN TRY_CAST(l.v AS JSON[]) WHEN 'OBJECT' THEN [l.v] ELSE [] END AS es
+              FROM (SELECT record_id, node_path, unnest({_LISTS_SQL}) AS l FROM nodes)))
+  WHERE json_type(es[i]) = 'OBJECT')
+"""
+
+
+def _value_sql(path: str, kind: str = "VARCHAR") -> str:
+    text = f"CASE WHEN json_type(j->'$.{path}') NOT IN ('OBJECT', 'ARRAY') THEN j->>'$.{path}' END"
+    return text if kind == "VARCHAR" else f"TRY_CAST({text} AS {kind})"
+
+
+def _nodes_table(kind: str, **columns: str) -> str:
+    return _NODES_SQL + "SELECT record_id, node_path, parent_path, place, " + ", ".join(f"{sql} AS {name}" for name, sql in columns.items()) + f" FROM nodes WHERE kind = '{kind}'"
+
+
+ORACLES["p5_found"] = _NODES_SQL + "SELECT record_id, node_path FROM nodes"
+ORACLES["p5_attachments"] = _nodes_table(
+    "attachment", type=_value_sql("type"), transcription_status=_value_sql("transcription.status"),
+    transcription_language=f"coalesce({_value_sql('transcription.language.code')}, {_value_sql('transcription.language')})", transcription_language_probability=_value_sql("transcription.language.probability", "DOUBLE"),
+)
+ORACLES["p5_storage_refs"] = _nodes_table("storage_ref", bucket=_value_sql("bucket"), object=_value_sql("object"), md5=_value_sql("checks.md5"), bytes=_value_sql("checks.bytes", "BIGINT"))
+ORACLES["p5_variants"] = _nodes_table("variant", bucket=_value_sql("bucket"), object=_value_sql("object"), width=_value_sql("size.w", "BIGINT"), height=_value_sql("size.h", "BIGINT"))
+ORACLES["p5_segments"] = _nodes_table("segment", start=_value_sql("start", "DOUBLE"), text=_value_sql("text"))
+ORACLES["p5_words"] = _nodes_table("word", w=_value_sql("w"), p=_value_sql("p", "DOUBLE"))
 QUERIES["p5_message_refs"] = lambda s, d: nested.message_refs(table(s, d, "messages"))
 ORACLES["p5_message_refs"] = """
 SELECT DISTINCT id AS message_id, CAST(i - 1 AS INTEGER) AS place, attachment.storage_refs[i].bucket AS bucket, attachment.storage_refs[i].object AS object
