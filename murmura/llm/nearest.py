@@ -45,7 +45,7 @@ PER_LIST, LEAST_SAMPLE, SAMPLE = 16, 20_000, 400_000
 #: More lists are learned in two levels.
 FLAT = 2048
 #: Vectors whose true neighbours are sought among all rows to set the probes, and the share of those that must be in probed lists.
-ASKED, TARGET, EXACT_SHARE = 400, 0.995, 0.35
+ASKED, TARGET, EXACT_SHARE = 400, 0.999, 0.35
 BLOCK = 20_000
 EPSILON, COLUMNS = 2.1, (64, 192)
 
