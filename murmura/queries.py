@@ -15,7 +15,7 @@ from murmura.functions.vectors import l2_normalized, norm, usable
 from murmura.operators import filters, incremental, mutate, nested, search
 from murmura.plans import classify, embed_images, embed_text, transcribe
 from murmura.schemas import IMAGE_VECTORS, TEXT_VECTORS
-from murmura.sources import vectors
+from murmura.sources import index, vectors
 from murmura.sources.tables import checkpoint_dir, table
 from murmura.streaming import runs
 
@@ -144,6 +144,17 @@ ORACLES["knn_prefilter_chat_date"] = _knn_sql(
 QUERIES["knn_image_search_normalized"] = knn_image_search_normalized
 ORACLES["knn_image_search_normalized"] = _knn_sql("image_vectors", 512, 100)
 
+
+
+def knn_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a stored index: the nearest lists, then those that may hold something better."""
+    v, path = table(spark, sf_dir, "text_vectors"), f"{checkpoint_dir(spark).rstrip('/')}/murmura-index-{uuid.uuid4().hex}"
+    index.build(v, path, 384)
+    return _rounded(search.collapse(index.search(spark, path, _first_vector(v, 384), 100, tie=("vec_id",))))
+
+
+QUERIES["knn_index_search"] = knn_index_search
+ORACLES["knn_index_search"] = ORACLES["knn_text_search"]
 QUERIES["l2_normalized"] = lambda s, d: table(s, d, "image_vectors").where(usable(F.col("vector"), 512)).select("vec_id", F.round(l2_normalized(F.col("vector"))[0], 9).alias("first"), F.round(norm(l2_normalized(F.col("vector"))), 9).alias("norm"))
 _NORM = "sqrt(list_sum(list_transform(CAST(vector AS DOUBLE[]), lambda x: x * x)))"
 ORACLES["l2_normalized"] = f"SELECT vec_id, round(CAST(vector[1] AS DOUBLE) / {_NORM}, 9) AS first, 1.0::DOUBLE AS norm FROM image_vectors WHERE {_usable_sql(512)}"
