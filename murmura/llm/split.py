@@ -42,9 +42,9 @@ def boundaries(text: str) -> list[np.ndarray]:
 def _hard(text: str, at: int, least: int) -> int:
     """A cut at ``at``, or a little before, that parts no joined signs."""
     back = at
-    while back > max(least, at - 16) and (unicodedata.combining(text[back]) or text[back] in "‍️︎" or text[back - 1] == "‍" or "\U0001f3fb" <= text[back] <= "\U0001f3ff"):
+    while back > least and (unicodedata.combining(text[back]) or text[back] in "‍️︎" or text[back - 1] == "‍" or "\U0001f3fb" <= text[back] <= "\U0001f3ff"):
         back -= 1
-    return back if back > max(least, at - 16) else at
+    return back if back > least else at
 
 
 def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
