@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -196,7 +197,7 @@ class Scorer:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.sum, self.count, self.head = [], [], []
+        self.sum, self.count, self.head = array("d"), array("q"), array("q")
 
     def _learn(self, tokens: set[str]) -> None:
         if len(self.known) > 400_000:
@@ -225,10 +226,10 @@ class Scorer:
         self._learn(set(tokens))
         at = np.fromiter(map(self.known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
         sentence = np.repeat(np.arange(len(lengths)), lengths)
-        counts = np.array(self.count)[at]
+        counts = np.frombuffer(self.count, dtype=np.int64)[at]
         real = counts > 0
         at, sentence, counts = at[real], sentence[real], counts[real]
-        sums, heads = np.array(self.sum)[at], np.array(self.head)[at]
+        sums, heads = np.frombuffer(self.sum)[at], np.frombuffer(self.head, dtype=np.int64)[at]
         # A pair of neighbours belongs to the second of them.
         inner = np.flatnonzero(sentence[1:] == sentence[:-1]) + 1
         pair = np.zeros((2, len(at)))

@@ -14,6 +14,7 @@ the most likely level, and the words of running text. Documents under ``least``
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -33,28 +34,22 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _LOG = re.compile(r"^\s*[\[(]?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|^\s*[{\[]\s*\"|^\s*(?:INFO|WARN|ERROR|DEBUG)\b")
 
 
-def running(text: str) -> str:
-    """The running text: sentences of words, without links and handles, lines of logs or figures."""
-    kept = []
+def sentences(text: str) -> list[list[str]]:
+    """The lower-cased words of each sentence of running text: without links and handles, lines of logs or figures, runs of one sign."""
+    out = []
     text = plain(text)
     for a, b in spans(text):
-        part = text[a:b]
-        letters = sum(map(len, _WORD.findall(part)))
-        if letters and letters >= 0.5 * sum(map(len, part.split())) and not _LOG.search(part):
-            kept.append(part)
-    return "\n".join(kept)
-
-
-def words(text: str) -> list[str]:
-    """Lower-cased words; runs of one sign are none."""
-    return [w for w in _WORD.findall(text.lower()) if len(w) < 4 or len(set(w)) > 1]
+        part = text[a:b].lower()
+        found = _WORD.findall(part)
+        if found and sum(map(len, found)) >= 0.5 * sum(map(len, part.split())) and not _LOG.search(text[a:b]):
+            out.append([w for w in found if len(w) < 4 or w.count(w[0]) < len(w)])
+    return out
 
 
 def windows(text: str) -> list[list[str]]:
-    """The words of each sentence of a running text; long sentences in parts of WINDOW words, short ones joined."""
+    """The words of each sentence of a text; long sentences in parts of WINDOW words, short ones joined."""
     out: list[list[str]] = []
-    for a, b in spans(text):
-        w = words(text[a:b])
+    for w in sentences(text):
         if out and len(out[-1]) + len(w) <= WINDOW // 2:
             out[-1] += w
             continue
@@ -82,7 +77,7 @@ class Model:
     def __init__(self) -> None:
         self.t = np.zeros((BUCKETS, LEVELS), dtype=np.float32)
         self.d = np.zeros((5, LEVELS), dtype=np.float64)
-        self.factor, self.known, self.rows = 1.0, {}, []
+        self.factor, self.known, self.rows = 1.0, {}, array("f")
 
     def _logs(self, mean: np.ndarray, dense: np.ndarray) -> np.ndarray:
         z = mean + np.concatenate([dense, np.ones((len(dense), 1))], 1) @ self.d
@@ -143,14 +138,14 @@ class Model:
         if not flat:
             return out
         if len(self.known) > 300_000:
-            self.known, self.rows = {}, []
+            self.known, self.rows = {}, array("f")
         for w in set(flat) - self.known.keys():
-            self.known[w] = len(self.rows)
-            self.rows.append(self.t[_grams(w)].mean(0))
+            self.known[w] = len(self.rows) // LEVELS
+            self.rows.extend(self.t[_grams(w)].mean(0).tolist())
         at = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
         start = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
         counts = np.array(counts)
-        mean = np.add.reduceat(np.array(self.rows)[at], start, axis=0) / counts[:, None]
+        mean = np.add.reduceat(np.frombuffer(self.rows, dtype=np.float32).reshape(-1, LEVELS)[at], start, axis=0) / counts[:, None]
         lengths = np.array([len(w) for w in flat])
         logs = np.maximum(self._logs(mean, _lengths(lengths, start)), -8)
         total = np.stack([np.bincount(owner, logs[:, c] * counts, len(texts)) for c in range(LEVELS)], 1)
@@ -168,7 +163,7 @@ def _spread(found: list[list[str]], n: int = WINDOWS_EACH) -> list[list[str]]:
 
 def train(labelled: list[tuple[str, int]]) -> Model:
     """A model from (text, level)."""
-    texts = [windows(running(t)) for t, _ in labelled]
+    texts = [windows(t) for t, _ in labelled]
     some = [k for k, w in enumerate(texts) if w]
     y = np.array([labelled[k][1] - 1 for k in some], dtype=np.int64)
     texts = [texts[k] for k in some]
@@ -212,7 +207,7 @@ def _leveled(batches: Iterator[pa.RecordBatch], model, least: int) -> Iterator[p
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
-            found = [windows(running(t)) if t else [] for t in part.column(1).to_pylist()]
+            found = [windows(t) if t else [] for t in part.column(1).to_pylist()]
             n = np.array([sum(map(len, w)) for w in found])
             p = model.value.distribution(model.value.documents(found))
             few = n < least

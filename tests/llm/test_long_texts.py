@@ -19,8 +19,8 @@ def test_in_proportion(name):
     t = TEXTS[name]
     net, scorer, weights = language.Network(6), moderation.Scorer(np.zeros(moderation.BUCKETS, dtype=np.float32), -3.0), personal.fitted()
     for f in (
-        lambda: sentences.spans(sentences.plain(t)), lambda: split.spans(t), lambda: encode.windows(t), lambda: encode.ends(t), lambda: language.stretches(net, [t]), lambda: scorer([t]),
-        lambda: near.Shingler()([t]), lambda: personal.find(t, weights), lambda: reading.windows(reading.running(t)),
+        lambda: sentences.spans(sentences.plain(t)), lambda: split.spans(t), lambda: encode.windows(t), lambda: encode.boundaries([t]), lambda: encode.pieces([t]), lambda: language.stretches(net, [t]), lambda: scorer([t]),
+        lambda: near.Shingler()([t]), lambda: personal.find(t, weights), lambda: reading.windows(t),
     ):
         began = time.process_time()
         f()

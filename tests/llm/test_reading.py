@@ -13,7 +13,7 @@ def document(rng, level, n=8):
 
 
 def test_running_text():
-    assert reading.words(reading.running("aaaaaaaa Ein Satz. https://x.example/a @du\n2025-01-01T00:00:00Z INFO ok\n{\"a\": 1}\n12 34 56 a")) == ["ein", "satz"]
+    assert reading.sentences("aaaaaaaa Ein Satz. https://x.example/a @du\n2025-01-01T00:00:00Z INFO ok\n{\"a\": 1}\n12 34 56 a\nInfo für alle") == [["ein", "satz"], ["info", "für", "alle"]]
     assert sum(map(len, reading.windows("wort " * 100))) == 100
 
 
