@@ -43,7 +43,7 @@ OTHERS = 2
 #: Longer sentences are scored by windows of so many words, each beginning STRIDE words after the last.
 LONG, SPAN, STRIDE, LEAST_TOKENS = 16, 12, 4, 3
 #: Log-odds under which a label of abuse (of a window that is usual elsewhere), and over which one of harmlessness, is taken for an error.
-LEAST_ODDS, MOST_ODDS, TURNS = 0.0, 0.0, 2
+LEAST_ODDS, MOST_ODDS, TURNS = 0.0, 1.0, 2
 #: Words and pairs that so many harmless messages have are usual; what being usual takes from a window's log-odds when the worst is sought.
 USUAL, UNUSUAL = 3, 3.0
 #: Letters that digits and signs stand for in disguised words.
@@ -309,7 +309,7 @@ def train(labelled: list[tuple[list[str], int]], unlabelled: list[list[str]] = (
         # What is usual elsewhere is not what a message was labelled abusive for.
         order = np.lexsort((held - (y[of] == 1) * UNUSUAL * usual, of))
         worst = order[first[1:] - 1]
-        keep = np.where(y == 1, (held[worst] > LEAST_ODDS) | (usual[worst] < 0.5), held[worst] < MOST_ODDS)
+        keep = np.where(y == 1, (held[worst] > LEAST_ODDS) | ((usual[worst] < 0.5) & (lex_n[worst] >= 2 * LEAST_TOKENS - 1)), held[worst] < MOST_ODDS)
         if keep[y == 1].sum() < 5:
             keep[:] = True
     return fitted(everyone, worst, keep, ROUNDS).table()
