@@ -10,12 +10,8 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def norm(v: Column) -> Column:
-    return F.sqrt(dot(v, v))
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
 def usable(v: Column, dim: int) -> Column:
@@ -24,6 +20,9 @@ def usable(v: Column, dim: int) -> Column:
 
 
 def l2_normalized(v: Column) -> Column:
-    """A vector over its norm; null for a zero vector."""
-    n = norm(doubles(v))
-    return F.when(n > 0, F.transform(doubles(v), lambda x: x / n))
+    """A vector over its norm; null for a zero vector.
+
+    The norm is bound as the one element of an outer list: named inside the inner function, it would be summed anew for each value.
+    """
+    x = doubles(v)
+    return F.transform(F.array(norm(x)), lambda n: F.when(n > 0, F.transform(x, lambda y: y / n)))[0]

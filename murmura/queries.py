@@ -155,7 +155,15 @@ def knn_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["knn_index_search"] = knn_index_search
 ORACLES["knn_index_search"] = ORACLES["knn_text_search"]
-QUERIES["l2_normalized"] = lambda s, d: table(s, d, "image_vectors").where(usable(F.col("vector"), 512)).select("vec_id", F.round(l2_normalized(F.col("vector"))[0], 9).alias("first"), F.round(norm(l2_normalized(F.col("vector"))), 9).alias("norm"))
+
+
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each usable vector over its norm, once: the first value and the norm of that."""
+    units = table(spark, sf_dir, "image_vectors").where(usable(F.col("vector"), 512)).select("vec_id", l2_normalized(F.col("vector")).alias("unit"))
+    return units.select("vec_id", F.round(F.col("unit")[0], 9).alias("first"), F.round(norm(F.col("unit")), 9).alias("norm"))
+
+
+QUERIES["l2_normalized"] = unit_vectors
 _NORM = "sqrt(list_sum(list_transform(CAST(vector AS DOUBLE[]), lambda x: x * x)))"
 ORACLES["l2_normalized"] = f"SELECT vec_id, round(CAST(vector[1] AS DOUBLE) / {_NORM}, 9) AS first, 1.0::DOUBLE AS norm FROM image_vectors WHERE {_usable_sql(512)}"
 

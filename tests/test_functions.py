@@ -1,6 +1,8 @@
 import re
+import time
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,15 @@ def test_vectors(spark):
     assert df.where("i = 1").select(vectors.l2_normalized(F.col("v")).alias("n")).first().n is None
 
 
+def test_normalizing_takes_time_in_proportion_to_the_length(spark):
+    x = np.random.default_rng(1).normal(size=20_000).astype(np.float32)
+    df = spark.createDataFrame([(x.tolist(),)], "v array<float>").select(vectors.l2_normalized(F.col("v")).alias("n"))
+    began = time.time()
+    n = df.first().n
+    assert time.time() - began < 10  # a sum of all squares for each value takes over half a minute
+    assert n == pytest.approx((x.astype(float) / np.linalg.norm(x.astype(float))).tolist())
+
+
 def test_settings():
     assert Settings(image_model="openai/clip-vit-large-patch14", image_dimension=5).image_dimension == 768
     for wrong in ({"text_embedding_fields": ("title",)}, {"classification_fields": ("attachment",)}, {"image_attachment_types": ("video",)}, {"asr_model": "huge"}, {"storage_provider": "aws"}, {"image_model": "x"}):
